@@ -227,4 +227,5 @@ def external_examples(pairs: DataFrame, keys: DataFrame) -> DataFrame:
     if missing.limit(1).count():
         sample = [r.asDict() for r in missing.select("i", "j").limit(5).collect()]
         raise ValueError(f"examples name words outside the vocabulary, such as {sample}")
-    return known.select(F.col("_i").alias("i"), F.col("_j").alias("j"), "x")
+    others = [c for c in pairs.columns if c not in ("i", "j")]
+    return known.select(F.col("_i").alias("i"), F.col("_j").alias("j"), *others)

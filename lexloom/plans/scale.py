@@ -29,8 +29,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str = "table", partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
+def materialise(
+    df: DataFrame,
+    name: str = "table",
+    partition_by: list[str] | None = None,
+    session: SparkSession | None = None,
+) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back (in ``session``, if given).
 
     Cuts the lineage so that a lost executor costs one read, not a recomputation, and gives
     Catalyst real file sizes, column pruning and pushdown for everything built on top.
@@ -41,7 +46,7 @@ def materialise(df: DataFrame, name: str = "table", partition_by: list[str] | No
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return (session or spark).read.schema(df.schema).parquet(path)
 
 
 def spread_small(df: DataFrame, by: list[str]) -> DataFrame:

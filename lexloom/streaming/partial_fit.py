@@ -45,14 +45,15 @@ def partial_fit_batch(
     plan: str | None = None,
 ) -> None:
     """One step on ``pairs(i, j, x)`` or ``pairs(i, ctx, x)`` of row indices."""
-    spark = pairs.sparkSession
+    # A micro-batch comes in a session of its own; the step runs in the model's.
+    spark = model.theta.sparkSession
     last = _steps(spark, folder).where(F.col("batch") < batch).orderBy(F.desc("batch"), F.desc("step")).first()
     if last is None:
         step, state = 1, optimise.with_moments(model.theta, model.dim)
         state = scale.materialise(state, "state")
     else:
         step, state = last["step"] + 1, spark.read.schema(STATE_SCHEMA).parquet(last["state"])
-    bags = scale.materialise(gradient.pairs_as_bags(pairs), "stream-bags")
+    bags = scale.materialise(gradient.pairs_as_bags(pairs), "stream-bags", session=spark)
     rows = bags.count()
     if rows == 0:
         return
