@@ -83,10 +83,11 @@ def new_embedding(
     edges: DataFrame | None = None,
     lambda1: float = 1.0,
 ) -> EmbeddingModel:
-    """A fresh model; with ``edges(word1, label1, word2, label2[, weight])`` it has a graph prior."""
+    """A fresh model; with ``edges(key1, key2[, weight])`` it has a graph prior."""
     build = build_keys_shared if shared_context_vectors else build_keys_unshared
     keys = scale.materialise(build(vocab), "keys")
-    theta = scale.materialise(init_vectors(keys, dim, seed), "theta")
+    # Hashing dim numbers per key is real work; a small key table would be read by one task.
+    theta = scale.materialise(init_vectors(scale.spread_small(keys, ["ix"]), dim, seed), "theta")
     model = EmbeddingModel(keys, theta, dim, lambda0, shared_context_vectors)
     if edges is None:
         return model

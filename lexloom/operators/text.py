@@ -144,7 +144,10 @@ def _prepare(tokens, order, key, keep_words, limit, downsample, cutoff, seed):
     counted = _with_counts(tokens, kept, _corpus_size(counts))
     if downsample:
         counted = _thin(counted, _corpus_size(kept), key, cutoff, seed)
-    corpus = token_positions(counted.select(*order, "word", "label"), order)
+    # Written before they are ordered: finding the range bounds reads the rows a second time, and
+    # the kept tokens are far fewer than the text they come from.
+    thin = scale.materialise(counted.select(*order, "word", "label"), "kept-tokens")
+    corpus = token_positions(thin, order)
     return corpus.select("pos", "word", "label"), counts, kept
 
 
@@ -168,7 +171,7 @@ def preprocess_standard(
     vocab = present.join(kept, on="word").select(
         "word", "label", "n", (F.col("n") / F.lit(size)).alias("freq")
     )
-    return Prepared(corpus, vocab)
+    return Prepared(corpus, scale.materialise(vocab, "vocab"))
 
 
 def partitioned_frequencies(corpus: DataFrame, counts: DataFrame) -> DataFrame:

@@ -172,11 +172,10 @@ def example_bags(
         pool = corpus if pool is None else pool
         wanted = corpus.select("pos").where(_whole_batches(size, batch_size, keep_tail))
         drawn = negative_samples(wanted, pool, pool_size or size, ns, seed, carry=[centre])
-        drawn = drawn.groupBy("pos").agg(
-            F.array_sort(F.collect_list(F.struct("k", centre))).getField(centre).alias("_drawn")
-        )
-        windows = windows.join(drawn, on="pos")
-        targets = F.concat(targets, F.col("_drawn"))
+        # The k-th draw of a position goes to the k-th column: fixed-width sums, no lists to sort.
+        numbered = [F.max(F.when(F.col("k") == k, F.col(centre))).alias(f"_t{k}") for k in range(1, ns + 1)]
+        windows = windows.join(drawn.groupBy("pos").agg(*numbered), on="pos")
+        targets = F.array(F.col(centre), *[F.col(f"_t{k}") for k in range(1, ns + 1)])
     return windows.select(
         F.col("pos").alias("bag_id"),
         _batch(batch_size).alias("batch_id"),
