@@ -19,8 +19,8 @@ from lexloom.functions import vectors
 from lexloom.operators.embedding import WORD, EmbeddingModel
 from lexloom.plans import scale
 
-QUERY_BYTES = 64 * 1024 * 1024  # largest query table that every task receives
-_CELL = 4096  # rows per side of a cell when neither side is broadcast
+QUERY_ROWS = 4096  # most queries that every task receives
+_CELL = 4096  # rows per side of a cell when the queries are more than that
 _BLOCK = 1024  # candidates scored at once inside a task
 _OUT = "qid bigint, word string, score double"
 _DIGITS = 9  # scores equal to this many decimals are ties
@@ -32,12 +32,13 @@ def top_k(
     """The ``k`` best candidates per query by dot product: ``(qid, rank, word, score)``.
 
     ``queries(qid, grp, vec)`` are compared with the ``candidates(word, grp, vec)`` of the same
-    ``grp`` (a string; use '' for no grouping).
+    ``grp`` (a string; use '' for no grouping). Up to ``limit`` queries are sent to the tasks that
+    scan the candidates; more are compared cell by cell.
     """
-    limit = QUERY_BYTES if limit is None else limit
+    limit = QUERY_ROWS if limit is None else limit
     queries = scale.materialise(queries.select("qid", "grp", "vec"), "queries")
     candidates = candidates.select("word", "grp", "vec")
-    if scale.fits_broadcast(queries, dim, limit):
+    if queries.limit(limit + 1).count() <= limit:
         best = _scan(queries, candidates, k, dim)
     else:
         best = _grid(queries, scale.materialise(candidates, "candidates"), k, dim)

@@ -97,22 +97,24 @@ def lookup_join(
 ) -> DataFrame:
     """Equi-join of a large table with a lookup table that has one row per key.
 
-    The lookup side is broadcast only if its counted size is within the limit. Otherwise the
-    hot keys (at most ``HOT_SHARE`` of them by definition) are broadcast and the rest, where no
-    key is hot, is a plain shuffle join. ``hot`` may name the hot keys when they are known.
+    The lookup side is broadcast only if its counted size is within the limit. Otherwise it is a
+    shuffle join in which the hot keys are salted: their rows are spread over all partitions by a
+    hash of the whole row, and their few lookup rows are copied to each. ``hot`` may name the hot
+    keys when they are known; there are never more than ``HOT_SHARE`` of them, so they are broadcast.
     ``how`` is inner, left, left_semi or left_anti.
     """
     if fits_broadcast(small, dim, limit):
         return big.join(F.broadcast(small), on=on, how=how)
     if hot is None:
         hot = hot_keys(big, on)
-    hot = materialise(hot.select(*on), "hot-keys")
-    hot_lookup = small.join(F.broadcast(hot), on=on, how="left_semi")
-    hot_rows = big.join(F.broadcast(hot), on=on, how="left_semi")
-    cold_rows = big.join(F.broadcast(hot), on=on, how="left_anti")
-    return hot_rows.join(F.broadcast(hot_lookup), on=on, how=how).unionByName(
-        cold_rows.join(small, on=on, how=how)
-    )
+    hot = F.broadcast(materialise(hot.select(*on, F.lit(True).alias("_hot")), "hot-keys"))
+    salts = int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int")
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    left = big.join(hot, on=on, how="left")
+    left = left.withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0))).drop("_hot")
+    right = small.join(hot, on=on, how="left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return left.join(right, on=[*on, "_salt"], how=how).drop("_salt")
 
 
 def hot_keys(df: DataFrame, on: list[str]) -> DataFrame:
