@@ -25,7 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import add, let
+from lexloom.functions import hashing
+from lexloom.llm.common import let, word_count
 from lexloom.plans import scale
 
 WEIGHTS = (5, 2, 1)
@@ -65,8 +66,8 @@ def shared_targets(sources: DataFrame, budget: float, most: int) -> DataFrame:
     )
 
 
-def _segments(schedule: Sequence[tuple[float, float]]) -> Column:
-    """The schedule as segments with the integral up to their start; the whole integral is one."""
+def segments(schedule: Sequence[tuple[float, float]]) -> list[dict[str, float]]:
+    """The schedule's pieces with the integral up to their start; the whole integral is one."""
     spans = list(zip(schedule, schedule[1:], strict=False))
     areas = [(t1 - t0) * (w0 + w1) / 2 for (t0, w0), (t1, w1) in spans]
     if schedule[0][0] != 0 or schedule[-1][0] != 1 or min(w for _, w in schedule) < 0 or sum(areas) <= 0:
@@ -74,10 +75,13 @@ def _segments(schedule: Sequence[tuple[float, float]]) -> Column:
     whole, before, out = sum(areas), 0.0, []
     for ((t0, w0), (t1, w1)), area in zip(spans, areas, strict=True):
         if area > 0:
-            values = {"start": t0, "w0": w0 / whole, "slope": (w1 - w0) / (t1 - t0) / whole, "low": before / whole}
-            out.append(F.struct(*[F.lit(float(v)).alias(k) for k, v in values.items()]))
+            out.append({"start": float(t0), "w0": w0 / whole, "slope": (w1 - w0) / (t1 - t0) / whole, "low": before / whole})
         before += area
-    return F.array(*out)
+    return out
+
+
+def _segments(schedule: Sequence[tuple[float, float]]) -> Column:
+    return F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in s.items()]) for s in segments(schedule)])
 
 
 def training_position(demand: Column, schedule: Column) -> Column:
@@ -124,8 +128,8 @@ def mix(
     if blocks is None:
         rows = sums.agg(F.sum("n")).first()[0] or 0
         blocks = max(256, rows // 100_000)
-    hashed = named.withColumn("_mix_hash", F.xxhash64(F.lit(seed), F.col(key)))
-    hashed = hashed.withColumn("_mix_block", F.pmod(F.col("_mix_hash"), F.lit(blocks)).cast("int"))
+    hashed = named.withColumn("_mix_hash", hashing.uniform(seed, "mix", F.coalesce(F.col(key).cast("string"), F.lit(""))))
+    hashed = hashed.withColumn("_mix_block", F.floor(F.col("_mix_hash") * blocks).cast("int"))
     block_sums = hashed.groupBy("_mix_source", "_mix_block").agg(F.sum(size).alias("block_size"))
     earlier = W.partitionBy("_mix_source").orderBy("_mix_block").rowsBetween(W.unboundedPreceding, -1)
     offsets = block_sums.withColumn("offset", F.coalesce(F.sum("block_size").over(earlier), F.lit(0)))
@@ -154,8 +158,6 @@ def mix(
 
 def mixed_documents(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """The documents as the mix takes them, repeats as repeated rows, in the order of training position."""
-    from lexloom.llm.common import word_count
-
     sized = docs.withColumn("_mix_size", word_count(F.col(text)))
     mixed = mix(sized, size="_mix_size", **options)
     return (

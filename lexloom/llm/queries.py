@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import chat_format, mixing, quality_rules
+from lexloom.llm import chat_format, exact_dedup, mixing, quality_rules, token_output, vector_packing
 from lexloom.llm.common import SQL_WORD, table, word_count
 from lexloom.plans import scale
 
@@ -101,10 +101,88 @@ def op2_chat_format(spark, sf_dir):
     return chat_format.digest(chat_format.examples(rows.unionByName(planted)))
 
 
+# --- 4: token output -------------------------------------------------------------------------
+
+
+@register("op4_token_output")
+def op4_token_output(spark, sf_dir):
+    folder = scale.scratch_path(spark, "packed")
+    return token_output.read_packed(token_output.write_packed(table(spark, sf_dir, "documents"), folder))
+
+
+# --- 5: exact dedup --------------------------------------------------------------------------
+
+_AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@register(
+    "op5_exact_dedup",
+    f"""
+WITH t AS (SELECT doc_id, sha256({_AZ}) AS text_sha256, {_AZ} AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, text_sha256
+FROM t WINDOW g AS (PARTITION BY t)
+""",
+)
+def op5_exact_dedup(spark, sf_dir):
+    docs = exact_dedup.numbered(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return exact_dedup.copies(docs).drop("_row")
+
+
 # --- 9: mixing -------------------------------------------------------------------------------
 
 
-@register("op9_mixing")
+_RULE = "CASE WHEN rank % 3 = 0 THEN {} WHEN rank % 3 = 1 THEN {} ELSE {} END"
+_SHARES = f"""
+sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{SQL_WORD}'))::BIGINT AS size,
+    ('0x' || substr(md5('9:mix:' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT / 281474976710656.0 AS h
+  FROM documents),
+sources AS (
+  SELECT *, {_RULE.format(5, 2, 1)} AS weight FROM (
+    SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank
+    FROM sized GROUP BY source)),
+filled AS (
+  SELECT *, 2 * source_size / weight AS demand, sum(2 * source_size) OVER o AS gone,
+    sum(weight) OVER () - sum(weight) OVER o AS rest, 1.5 * sum(source_size) OVER () AS budget
+  FROM sources WINDOW o AS (ORDER BY 2 * source_size / weight, rank ROWS UNBOUNDED PRECEDING)),
+rate AS (
+  SELECT coalesce(max_by((budget - gone) / rest, demand) FILTER (rest > 0 AND gone + demand * rest <= budget),
+    max(budget) / (SELECT sum(weight) FROM sources)) AS rate FROM filled),
+targets AS (
+  SELECT source, source_size, rank,
+    CASE WHEN demand <= rate THEN 2.0 * source_size ELSE weight * rate END::DOUBLE AS target FROM filled, rate),
+placed AS (
+  SELECT s.doc_id, size, source_size, target, rank,
+    coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY h, s.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+      + size / 2.0 AS middle
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
+"""
+
+
+def _sql_position(demand: str) -> str:
+    """Training time at which a source's cumulative demand reaches ``demand``."""
+    by_rank = []
+    for place, schedule in enumerate(mixing.SCHEDULES):
+        cases = " ".join(
+            f"WHEN {demand} >= {s['low']!r} THEN {s['start']!r} + 2 * ({demand} - {s['low']!r}) / ({s['w0']!r}::DOUBLE"
+            f" + sqrt({s['w0']!r}::DOUBLE * {s['w0']!r} + 2 * {s['slope']!r}::DOUBLE * ({demand} - {s['low']!r})))"
+            for s in reversed(mixing.segments(schedule))
+        )
+        by_rank.append(f"WHEN rank % {len(mixing.SCHEDULES)} = {place} THEN CASE {cases} END")
+    return f"round(CASE {' '.join(by_rank)} END, 6)"
+
+
+@register(
+    "op9_mixing",
+    f"""
+WITH {_SHARES}, demanded AS (SELECT *, (middle / target)::DOUBLE AS d1, ((middle + source_size) / target)::DOUBLE AS d2 FROM placed)
+SELECT doc_id, size, source_size, round(target, 6) AS target,
+  size * ((middle < target)::INT + (middle + source_size < target)::INT)::BIGINT AS taken,
+  CASE WHEN middle < target AND size > 0 THEN {_sql_position("d1")} END AS first_position,
+  CASE WHEN middle + source_size < target AND size > 0 THEN {_sql_position("d2")} END AS second_position
+FROM demanded
+""",
+)
 def op9_mixing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
@@ -113,8 +191,16 @@ def op9_mixing(spark, sf_dir):
         "doc_id",
         "size",
         "source_size",
-        "target",
+        F.round("target", 6).alias("target"),
         "taken",
-        F.get("positions", F.lit(0)).alias("first_position"),
-        F.get("positions", F.lit(1)).alias("second_position"),
+        F.round(F.get("positions", F.lit(0)), 6).alias("first_position"),
+        F.round(F.get("positions", F.lit(1)), 6).alias("second_position"),
     ).orderBy("first_position", F.xxhash64("doc_id"))
+
+
+# --- 10: best-fit packing --------------------------------------------------------------------
+
+
+@register("op10_vector_packing")
+def op10_vector_packing(spark, sf_dir):
+    return vector_packing.packed_documents(table(spark, sf_dir, "documents"))
