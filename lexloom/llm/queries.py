@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import chat_format, exact_dedup, mixing, quality_rules, token_output, vector_packing
+from lexloom.llm import chat_format, exact_dedup, language_id, mixing, quality_rules, simhash, token_output, vector_packing, warc
 from lexloom.llm.common import SQL_WORD, table, word_count
 from lexloom.plans import scale
 
@@ -101,6 +101,25 @@ def op2_chat_format(spark, sf_dir):
     return chat_format.digest(chat_format.examples(rows.unionByName(planted)))
 
 
+# --- 3: WARC ---------------------------------------------------------------------------------
+
+
+@register(
+    "op3_warc",
+    """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, ''))::BIGINT AS payload_bytes FROM pages),
+k AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS keep FROM p)
+SELECT page_id, payload_bytes, sha1(html) AS payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> keep THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> keep THEN keep END AS refers_to
+FROM k
+""",
+)
+def op3_warc(spark, sf_dir):
+    folder = scale.scratch_path(spark, "warc")
+    return warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages"), folder)).drop("url")
+
+
 # --- 4: token output -------------------------------------------------------------------------
 
 
@@ -128,6 +147,25 @@ def op5_exact_dedup(spark, sf_dir):
     return exact_dedup.copies(docs).drop("_row")
 
 
+# --- 6: language identification --------------------------------------------------------------
+
+
+@register("op6_language_id")
+def op6_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.identify(docs)
+    return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+# --- 8: SimHash ------------------------------------------------------------------------------
+
+
+@register("op8_simhash")
+def op8_simhash(spark, sf_dir):
+    found = simhash.near_copies(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 # --- 9: mixing -------------------------------------------------------------------------------
 
 
