@@ -15,7 +15,7 @@ def write_bytes(uri: str, parts) -> int:
     system, path = store(uri)
     system.create_dir(path.rsplit("/", 1)[0], recursive=True)
     total = 0
-    with system.open_output_stream(path) as out:
+    with system.open_output_stream(path, compression=None) as out:
         for part in parts:
             out.write(part)
             total += memoryview(part).nbytes
