@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import chat_format, exact_dedup, language_id, mixing, quality_rules, simhash, token_output, vector_packing, warc
+from lexloom.llm import chat_format, exact_dedup, language_id, mixing, quality_rules, simhash, suffix_dedup, token_output, vector_packing, warc
 from lexloom.llm.common import SQL_WORD, table, word_count
 from lexloom.plans import scale
 
@@ -157,6 +157,14 @@ def op6_language_id(spark, sf_dir):
     return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+# --- 7: repeated substrings ------------------------------------------------------------------
+
+
+@register("op7_suffix_dedup")
+def op7_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("spans", "kept")
+
+
 # --- 8: SimHash ------------------------------------------------------------------------------
 
 
