@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexloom.plans import scale
+
 # A word is a run of anything but space and the control characters 9 to 13.
 BLANKS = "[ \\t-\\r]+"
 SQL_WORD = r"[^\x20\x09-\x0D]+"
@@ -33,3 +35,16 @@ def word_count(text: Column) -> Column:
 def add(values: Column, kind: str = "bigint") -> Column:
     """Sum of an array; zero for an empty one."""
     return F.aggregate(values, F.lit(0).cast(kind), lambda a, v: a + v)
+
+
+def free_name(docs: DataFrame, wanted: str) -> str:
+    """``wanted``, with underscores added until the table has no such column."""
+    taken = {c.lower() for c in docs.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """The documents stored once with a number per row, which tells apart rows that agree in everything."""
+    return scale.materialise(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")

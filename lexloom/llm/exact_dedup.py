@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexloom.llm.common import free_name, numbered
 from lexloom.plans import scale
 
 CHUNK = 1 << 16  # bytes hashed or compared at a time
@@ -67,18 +68,13 @@ class Polynomial:
         return total
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """The documents stored once with a number per row, which tells apart rows that agree in everything."""
-    return scale.materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-
-
 def _normal(value: str | None) -> bytes:
     return (value or "").encode().lower()  # bytes.lower changes A to Z only
 
 
-def fingerprints(rows: DataFrame, key: str, text: str, whole_bytes: int, primes, bases) -> DataFrame:
-    """``_row, <key>, n_bytes, text_sha256, f0, f1, f2`` of numbered rows, stored."""
-    source = rows.select("_row", F.col(key).alias("key"), F.col(text).alias("text"))
+def fingerprints(rows: DataFrame, row: str, key: str, text: str, whole_bytes: int, primes, bases) -> DataFrame:
+    """``_row, key, n_bytes, text_sha256, f0, f1, f2`` of numbered rows, stored."""
+    source = rows.select(F.col(row).alias("_row"), F.col(key).alias("key"), F.col(text).alias("text"))
     fields = "n_bytes bigint, text_sha256 string, f0 bigint, f1 bigint, f2 bigint, piece bigint, raw binary"
     schema = T.StructType([*source.schema.fields[:2], *T.StructType.fromDDL(fields).fields])
 
@@ -130,11 +126,11 @@ def fingerprints(rows: DataFrame, key: str, text: str, whole_bytes: int, primes,
     return scale.materialise(first.where("raw IS NULL").select(*plain).unionByName(combined), "fingerprints")
 
 
-def _differing(rows: DataFrame, marks: DataFrame, text: str) -> DataFrame:
+def _differing(rows: DataFrame, row: str, marks: DataFrame, text: str) -> DataFrame:
     """Fingerprints shared by texts that are not equal, found by comparing the texts chunk by chunk."""
     shared = marks.groupBy(*MARKS).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     suspects = marks.join(shared, MARKS).select("_row", *MARKS)
-    texts = rows.select("_row", F.col(text).alias("text")).join(suspects, "_row").drop("_row")
+    texts = rows.select(F.col(row).alias("_row"), F.col(text).alias("text")).join(suspects, "_row").drop("_row")
     schema = T.StructType.fromDDL("f0 bigint, f1 bigint, f2 bigint, n_bytes bigint, chunk bigint, bytes binary")
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,15 +152,19 @@ def _differing(rows: DataFrame, marks: DataFrame, text: str) -> DataFrame:
 
 def copies(
     docs: DataFrame,
+    row: str,
     key: str = "doc_id",
     text: str = "text",
     whole_bytes: int = WHOLE_BYTES,
     primes=PRIMES,
     bases=BASES,
 ) -> DataFrame:
-    """One row per row of ``docs`` (numbered by ``numbered``): ``_row, <key>, keep_id, group_size, kept, text_sha256``."""
-    marks = fingerprints(docs, key, text, whole_bytes, primes, bases)
-    unequal = scale.materialise(_differing(docs, marks, text), "unequal")
+    """One row per row of ``docs``, which are stored with a number ``row``.
+
+    ``_row, <key>, keep_id, group_size, kept, text_sha256``; ``_row`` is that number.
+    """
+    marks = fingerprints(docs, row, key, text, whole_bytes, primes, bases)
+    unequal = scale.materialise(_differing(docs, row, marks, text), "unequal")
     # Equal fingerprints of unequal texts are next to impossible; their groups are split by the digest.
     marks = marks.join(unequal.withColumn("unequal", F.lit(True)), MARKS, "left").withColumn(
         "split", F.when(F.col("unequal"), F.col("text_sha256")).otherwise("")
@@ -185,6 +185,7 @@ def copies(
 
 def without_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without those of which an equal one stays; columns as given."""
-    rows = numbered(docs)
-    kept = copies(rows, key, text).where("kept").select("_row")
-    return rows.join(kept, "_row", "left_semi").drop("_row")
+    row = free_name(docs, "_row")
+    rows = numbered(docs, row)
+    kept = copies(rows, row, key, text).where("kept").select(F.col("_row").alias(row))
+    return rows.join(kept, row, "left_semi").drop(row)

@@ -13,8 +13,8 @@ range-sorts them by position.
 
 Defined cases: null and empty texts have size 0 and are taken zero times over (``taken`` 0); a null source
 is a source of its own and comes last; documents with equal hash, id and size follow each other in any
-order; an empty table gives an empty result. Extra columns are carried along; names beginning
-with ``_mix`` are reserved.
+order; an empty table gives an empty result. ``mix`` carries extra columns along, but not under the names of its
+results or beginning with ``_mix``; ``mixed_documents`` carries columns of any name.
 """
 
 from __future__ import annotations
@@ -147,21 +147,16 @@ def mix(
     )
     taken = F.filter(middles, lambda m: (m < F.col("target")) & (F.col(size) > 0))
     positions = F.transform(taken, lambda m: training_position(m / F.col("target"), F.col("plan")))
-    kept = [c for c in docs.columns]
     return (
         placed.withColumn("positions", positions)
         .withColumn("copies", F.size("positions"))
         .withColumn("taken", F.col("copies") * F.col(size))
-        .select(*kept, "source_size", "target", "copies", "taken", "positions")
+        .select(*docs.columns, "source_size", "target", "copies", "taken", "positions")
     )
 
 
 def mixed_documents(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """The documents as the mix takes them, repeats as repeated rows, in the order of training position."""
-    sized = docs.withColumn("_mix_size", word_count(F.col(text)))
-    mixed = mix(sized, size="_mix_size", **options)
-    return (
-        mixed.select(*docs.columns, F.explode("positions").alias("_mix_position"))
-        .orderBy("_mix_position", F.xxhash64("doc_id"))
-        .select(*docs.columns)
-    )
+    sized = docs.select("doc_id", "source", word_count(F.col(text)).alias("size"), F.struct(*docs.columns).alias("doc"))
+    mixed = mix(sized, **options).select("doc", F.explode("positions").alias("position"))
+    return mixed.orderBy("position", F.xxhash64("doc.doc_id")).select("doc.*")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.llm import chat_format, exact_dedup, language_id, mixing, quality_rules, simhash, suffix_dedup, token_output, vector_packing, warc
-from lexloom.llm.common import SQL_WORD, table, word_count
+from lexloom.llm.common import SQL_WORD, numbered, table, word_count
 from lexloom.plans import scale
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,8 +143,8 @@ FROM t WINDOW g AS (PARTITION BY t)
 """,
 )
 def op5_exact_dedup(spark, sf_dir):
-    docs = exact_dedup.numbered(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return exact_dedup.copies(docs).drop("_row")
+    docs = numbered(table(spark, sf_dir, "documents").select("doc_id", "text"), "row")
+    return exact_dedup.copies(docs, "row").drop("_row")
 
 
 # --- 6: language identification --------------------------------------------------------------

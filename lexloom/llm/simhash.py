@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexloom.llm.common import free_name, numbered
 from lexloom.plans import scale
 
 SHINGLE = 3
@@ -219,9 +220,10 @@ def near_copies(docs: DataFrame, key: str = "doc_id", keep: list[str] | None = N
 
 def without_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One row of every component: that with the smallest key (null comes last), of equal keys the first as stored; columns as given."""
-    rows = scale.materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    found = near_copies(rows, key, ["_row"], text, **options)
+    row = free_name(docs, "_row")
+    rows = numbered(docs, row)
+    found = near_copies(rows, key, [row], text, **options)
     first = found.groupBy("label").agg(
-        F.min(F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col("_row").alias("r"))).alias("first")
+        F.min(F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col(row).alias("r"))).alias("first")
     )
-    return rows.join(first.select(F.col("first.r").alias("_row")), "_row", "left_semi").drop("_row")
+    return rows.join(first.select(F.col("first.r").alias(row)), row, "left_semi").drop(row)
