@@ -71,7 +71,8 @@ def fingerprints(docs: DataFrame, keep: list[str], text: str = "text") -> DataFr
 
 
 def _distance(a: np.ndarray, b) -> np.ndarray:
-    return np.bitwise_count(a ^ b).astype(np.int16)
+    # As unsigned numbers: of a signed one, numpy counts the bits of its absolute value.
+    return np.bitwise_count((a ^ b).view(np.uint64)).astype(np.int16)
 
 
 class Tree:
