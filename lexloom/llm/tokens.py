@@ -28,7 +28,7 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+"
 WORD_END = "</w>"
 # Words a worker remembers; beyond it forgets all and starts again.
-REMEMBERED = 300_000
+REMEMBERED = 1_000_000
 LONGEST_REMEMBERED = 64
 
 
@@ -104,20 +104,17 @@ class Encoder:
                 ids = self.whole.encode_batch_fast([text or ""], add_special_tokens=False)[0].ids
                 yield np.array(ids, self.dtype).tobytes()
             return
-        for text in texts:
-            # bytes.split cuts at ASCII space only, where no token of this layout can reach across.
-            words = (text or "").encode().split()
-            known = self.known
-            missing = [w for w in set(words) if w not in known]
-            if missing:
-                found = self._learn(missing)
-                if len(known) + len(found) > REMEMBERED:
-                    self.known = known = {}
-                    found |= self._learn([w for w in set(words) if w not in found])
-                known.update((w, i) for w, i in found.items() if len(w) <= LONGEST_REMEMBERED)
-                yield b"".join([known[w] if w in known else found[w] for w in words])
-            else:
-                yield b"".join(map(known.__getitem__, words))
+        # bytes.split cuts at ASCII space only, where no token of this layout can reach across.
+        words = [(text or "").encode().split() for text in texts]
+        every = set().union(*words)
+        if len(self.known) > REMEMBERED:
+            self.known = {}
+        known = self.known
+        found = self._learn([w for w in every if w not in known])
+        long = {w: i for w, i in found.items() if len(w) > LONGEST_REMEMBERED}
+        known.update((w, i) for w, i in found.items() if w not in long)
+        for text in words:
+            yield b"".join([known[w] if w in known else long[w] for w in text] if long else map(known.__getitem__, text))
 
 
 def encoder(path: str) -> Encoder:
