@@ -198,7 +198,7 @@ def label_tokens(spark, sf_dir):
     return _bigint(text.label_tokens(tokens), "tok").select("doc_id", "tok", "key")
 
 
-EMPTY_LIMIT = 100
+EMPTY_LIMIT = 400
 
 
 @register(
@@ -366,7 +366,7 @@ def mark_context_role(spark, sf_dir):
     "assign_batches",
     with_(
         sql.CORPUS,
-        f"ids AS (SELECT unnest(range(size // {BATCH})) AS batch_id FROM size)",
+        f"ids AS (SELECT unnest(range((size + {BATCH - 1}) // {BATCH})) AS batch_id FROM size)",
         f"""turns AS (SELECT batch_id, row_number() OVER (
     ORDER BY {sql.uniform('batch', "'0'", 'batch_id')}, batch_id) - 1 AS turn FROM ids)""",
         select=f"SELECT pos, batch_id, turn FROM corpus JOIN turns ON batch_id = pos // {BATCH}",

@@ -238,13 +238,13 @@ def sgns_log_likelihood(spark, sf_dir):
     with_(
         sql.MODEL,
         f"fit AS (SELECT sum({_LL}) AS ll, count(*) AS n FROM scored)",
-        f"prior AS (SELECT -0.5 * {LAMBDA0} * {_NORM} * (size // {BATCH} * {BATCH})::DOUBLE / size AS lp FROM size)",
+        f"prior AS (SELECT -0.5 * {LAMBDA0} * {_NORM} AS lp)",
         select="SELECT n, round(ll, 4) AS log_lik, round(lp, 6) AS log_prior, round(ll + lp, 4) AS log_posterior FROM fit, prior",
     ),
 )
 def log_posterior(spark, sf_dir):
     model, bags, size = _encoded_bags(spark, sf_dir)
-    found = likelihood.log_posterior(model, _examples(bags), "cbow", size // BATCH * BATCH, size)
+    found = likelihood.log_posterior(model, _examples(bags), "cbow", size, size)
     return found.select(
         "n", F.round("log_lik", 4).alias("log_lik"), F.round("log_prior", 6).alias("log_prior"),
         F.round("log_posterior", 4).alias("log_posterior"),
@@ -253,12 +253,12 @@ def log_posterior(spark, sf_dir):
 
 def _grad_sql(both: str) -> str:
     """Gradient rows ``grad(ix, g)`` from contributions ``both(ix, vec)``, prior included."""
-    prior = f"(size // {BATCH} * {BATCH})::DOUBLE / size * {LAMBDA0}"
+    prior = LAMBDA0
     return f"""parts AS MATERIALIZED ({both}),
 sums AS MATERIALIZED (SELECT ix, {sql.list_sums('vec')} AS g FROM parts GROUP BY ix),
 grad AS MATERIALIZED (SELECT theta.ix, theta.vec, list_transform(list_zip(
     coalesce(g, list_resize([0.0::DOUBLE], {DIM}, 0.0::DOUBLE)), theta.vec), lambda p: p[1] - {prior} * p[2]) AS g
-  FROM theta LEFT JOIN sums USING (ix) CROSS JOIN size)"""
+  FROM theta LEFT JOIN sums USING (ix))"""
 
 
 def _scaled(vec: str, factor: str) -> str:
@@ -278,9 +278,8 @@ _GRAD_ROWS = f"SELECT ix, generate_subscripts(g, 1) - 1 AS d, {sql.r6('unnest(g)
 
 
 def _gradient(spark, sf_dir, kind, plan=None):
-    model, bags, size = _encoded_bags(spark, sf_dir)
-    share = size // BATCH * BATCH / size
-    return model, gradient.posterior_gradient(model, bags, kind, share, plan)
+    model, bags, _ = _encoded_bags(spark, sf_dir)
+    return model, gradient.posterior_gradient(model, bags, kind, 1.0, plan)
 
 
 @register("posterior_gradient", with_(sql.MODEL, _CBOW_GRAD, select=_GRAD_ROWS))
@@ -318,8 +317,7 @@ def adam_step(spark, sf_dir):
 
 # --- holdout ---------------------------------------------------------------------------------
 
-# Every position counts here, so the last partial batch stays.
-_HOLDOUT = sql.MODEL.replace(f"WHERE pos < size // {BATCH} * {BATCH})", "WHERE pos < size)")
+_HOLDOUT = sql.MODEL
 _TIE = f"sign(round({_LL} - ln(0.5), 12)) / 2 + 0.5"
 _FULL = {"kind": "cbow", "ws": WS, "ns": NS, "seed": SEED}
 
@@ -359,7 +357,7 @@ def _split(spark, sf_dir):
 
 def _map(model, tokens, size, **options):
     # Two steps per epoch, each over half of the corpus.
-    return map_fit.map_estimate(model, tokens, batch_size=size // 2, ws=WS, ns=NS, seed=SEED, **options)
+    return map_fit.map_estimate(model, tokens, batch_size=-(-size // 2), ws=WS, ns=NS, seed=SEED, **options)
 
 
 @register("map_estimate")
@@ -476,7 +474,7 @@ def rotation_mask(spark, sf_dir):
 def mean_field_vi(spark, sf_dir):
     tokens, vocab, size = corpus(spark, sf_dir)
     fit = vi_fit.mean_field_vi(
-        fresh_model(vocab, 8), tokens, batch_size=size // 2, ws=WS, ns=NS, epochs=1, seed=SEED
+        fresh_model(vocab, 8), tokens, batch_size=-(-size // 2), ws=WS, ns=NS, epochs=1, seed=SEED
     )
     std = fit.std.theta.select("ix", F.col("vec").alias("std"))
     both = fit.mean.vectors().join(std, on="ix").select("key", F.posexplode(F.arrays_zip("vec", "std")))
@@ -487,7 +485,7 @@ def mean_field_vi(spark, sf_dir):
 def elbo_history(spark, sf_dir):
     tokens, vocab, size = corpus(spark, sf_dir)
     fit = vi_fit.mean_field_vi(
-        fresh_model(vocab, 8), tokens, batch_size=size // 2, ws=WS, ns=NS, epochs=2, seed=SEED
+        fresh_model(vocab, 8), tokens, batch_size=-(-size // 2), ws=WS, ns=NS, epochs=2, seed=SEED
     )
     return vi_fit.elbo_history(fit)
 

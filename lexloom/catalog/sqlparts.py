@@ -72,7 +72,7 @@ steps AS MATERIALIZED (SELECT pos, k, word, (pos + o + size) % size AS seen FROM
 reach AS MATERIALIZED (
   SELECT steps.pos, k, steps.word, b.word AS c FROM steps JOIN corpus b ON b.pos = seen)"""
 
-# ``centres(pos, k, i, x)``: the centre of each whole-batch window (k = 0) and its NS negatives.
+# ``centres(pos, k, i, x)``: the centre of each window (k = 0) and its NS negatives.
 
 
 def negatives(pool: str = "corpus", size: str = "size") -> str:
@@ -87,8 +87,7 @@ CENTRES = f"""{negatives()},
 centres AS MATERIALIZED (
   SELECT pos, k, i, x FROM (
     SELECT pos, 0 AS k, word AS i, 1.0::DOUBLE AS x FROM corpus
-    UNION ALL SELECT pos, k, word, 0.0::DOUBLE FROM negatives), size
-  WHERE pos < size // {BATCH} * {BATCH})"""
+    UNION ALL SELECT pos, k, word, 0.0::DOUBLE FROM negatives))"""
 
 # ``keys(word, role, ix)`` and ``theta(ix, vec)`` of a fresh model on the corpus.
 KEYS = """keys AS MATERIALIZED (

@@ -104,7 +104,7 @@ def align(
 def normalize_rotation(model: EmbeddingModel, words: Sequence[str]) -> EmbeddingModel:
     """Rotate all vectors so that the block of the D chosen words is upper triangular."""
     if len(words) != model.dim:
-        raise ValueError(f"{model.dim} words are needed to fix the rotation, got {len(words)}")
+        raise ValueError(f"a rotation in {model.dim} dimensions is normalised by {model.dim} words, not {len(words)}")
     chosen = model.vectors().where(F.col("key").isin(list(words))).select("key", "vec").collect()
     block = {r["key"]: r["vec"] for r in chosen}
     missing = [w for w in words if w not in block]

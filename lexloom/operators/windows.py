@@ -15,7 +15,7 @@ BLOCK = 4096
 
 def check_model(model: str) -> None:
     if model not in MODELS:
-        raise ValueError("model must be 'sgns' or 'cbow'")
+        raise ValueError(f"unknown kind of model {model!r}; there are {' and '.join(MODELS)}")
 
 
 def corpus_size(corpus: DataFrame) -> int:
@@ -119,7 +119,7 @@ def cbow_examples(
     value: str = "word",
     pool: DataFrame | None = None,
     pool_size: int | None = None,
-    keep_tail: bool = False,
+    keep_tail: bool = True,
 ) -> DataFrame:
     """Rows ``(ex_id, batch_id, i, ctx, x)``: each window once with its own centre (x = 1) and
     ``ns`` times with a drawn centre (x = 0)."""
@@ -158,20 +158,26 @@ def example_bags(
     context: str = "cix",
     pool: DataFrame | None = None,
     pool_size: int | None = None,
-    keep_tail: bool = False,
+    keep_tail: bool = True,
 ) -> DataFrame:
     """One row per window: ``targets`` = its centre and the drawn ones, ``x`` = 1, 0, ..., 0.
 
     The window is stored once for its 1 + ns examples, and only narrow rows are joined to
-    find the negatives.
+    find the negatives. The last batch holds what is left, unless ``keep_tail`` is off. Negatives come from
+    ``pool(pos, ..)``, whose size is counted unless given, or from the corpus itself.
     """
     windows = context_windows(corpus, ws, size, value=context, keep=[centre])
     windows = windows.where(_whole_batches(size, batch_size, keep_tail))
     targets = F.array(F.col(centre))
     if ns > 0:
-        pool = corpus if pool is None else pool
+        if pool is None:
+            pool, pool_size = corpus, size
+        elif pool_size is None:
+            pool_size = corpus_size(pool)
+        if pool_size < 1 and size > 0:
+            raise ValueError("negatives cannot be drawn from an empty pool")
         wanted = corpus.select("pos").where(_whole_batches(size, batch_size, keep_tail))
-        drawn = negative_samples(wanted, pool, pool_size or size, ns, seed, carry=[centre])
+        drawn = negative_samples(wanted, pool, pool_size, ns, seed, carry=[centre])
         # The k-th draw of a position goes to the k-th column: fixed-width sums, no lists to sort.
         numbered = [F.max(F.when(F.col("k") == k, F.col(centre))).alias(f"_t{k}") for k in range(1, ns + 1)]
         windows = windows.join(drawn.groupBy("pos").agg(*numbered), on="pos")
@@ -195,7 +201,7 @@ def _whole_batches(size: int, batch_size: int, keep_tail: bool):
 
 
 def assign_batches(
-    corpus: DataFrame, size: int, batch_size: int, epoch: int = 0, seed: int = 0, keep_tail: bool = False
+    corpus: DataFrame, size: int, batch_size: int, epoch: int = 0, seed: int = 0, keep_tail: bool = True
 ) -> DataFrame:
     """Positions with their batch and the batch's turn in this epoch's random order."""
     batched = corpus.where(_whole_batches(size, batch_size, keep_tail)).select(

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexloom.operators import embedding, gradient, holdout, likelihood, optimise, text, windows
-from lexloom.plans import map_fit, scale, vi_fit
+from lexloom.plans import map_fit, scale, training, vi_fit
 from lexloom.streaming import partial_fit
 
 SIZE, WS, NS = 840, 2, 2
@@ -111,14 +111,14 @@ def test_map_from_supplied_examples(spark, model):
 
 
 def test_argument_checks(spark, model, text_corpus):
-    with pytest.raises(ValueError, match="either"):
+    with pytest.raises(ValueError, match="either a corpus"):
         map_fit.map_estimate(model)
     with pytest.raises(ValueError, match="size"):
         map_fit.map_estimate(model, examples=text_corpus)
     with pytest.raises(ValueError, match="sgns"):
         map_fit.map_estimate(model, text_corpus, kind="glove")
-    with pytest.raises(ValueError, match="fill one batch"):
-        map_fit.map_estimate(model, text_corpus, batch_size=10_000)
+    with pytest.raises(ValueError, match="no batch"):
+        map_fit.map_estimate(model, text_corpus, batch_size=10_000, keep_tail=False)
     with pytest.raises(ValueError, match="outside the vocabulary"):
         map_fit.map_estimate(model, text_corpus.withColumn("word", F.lit("zebra")), batch_size=10)
 
@@ -164,3 +164,17 @@ def test_stream_steps_can_be_replayed(spark, model, tmp_path):
     assert {r["step"] for r in spark.read.schema(partial_fit.STEPS_SCHEMA).json(f"{folder}/steps").collect()} == set(
         range(1, last["step"] + 1)
     ) and replayed
+
+
+def test_batches_take_the_prior_of_their_own_rows(spark, model, text_corpus):
+    data = training.Examples(model, text_corpus, None, None, "cbow", WS, NS, 250, 0, None, True)
+    assert sorted(b.rows for b in data.epoch(0)) == [90, 250, 250, 250]
+    pairs = spark.range(605).select(F.lit(1).alias("i"), F.lit(2).alias("j"), F.lit(1.0).alias("x"), F.when(F.col("id") < 5, 7).otherwise(2).alias("batch_id"))
+    data = training.Examples(model, None, pairs, 605, "sgns", WS, NS, 250, 0, None, True)
+    assert sorted((b.number, b.rows) for b in data.epoch(0)) == [(2, 600), (7, 5)]
+
+
+def test_initial_spread_must_name_every_row(spark, model):
+    short = model.theta.limit(3).select("ix", F.col("vec").alias("std"))
+    with pytest.raises(ValueError, match="every row"):
+        vi_fit.init_variational(model, True, short)

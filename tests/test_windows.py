@@ -16,17 +16,17 @@ def test_windows_match_a_list(spark, n, ws, block):
     assert {r["pos"]: r["ctx"] for r in found} == want and len(found) == n
 
 
-def test_examples_share_windows_and_drop_the_tail(spark):
+def test_examples_share_windows_and_keep_the_tail(spark):
     n, ws, ns, batch = 47, 2, 3, 10
     corpus = corpus_of(spark, n)
     found = windows.cbow_examples(corpus, n, ws, ns, batch).collect()
-    assert len(found) == 40 * (1 + ns) and len({r["ex_id"] for r in found}) == len(found)
+    assert len(found) == n * (1 + ns) and len({r["ex_id"] for r in found}) == len(found)
     by_pos = {r["ex_id"] // (1 + ns): r for r in found if r["x"] == 1.0}
     assert all(r["i"] == f"w{p}" and r["batch_id"] == p // batch for p, r in by_pos.items())
     assert all(r["ctx"] == by_pos[r["ex_id"] // (1 + ns)]["ctx"] for r in found)
-    assert windows.cbow_examples(corpus, n, ws, ns, batch, keep_tail=True).count() == n * (1 + ns)
+    assert windows.cbow_examples(corpus, n, ws, ns, batch, keep_tail=False).count() == 40 * (1 + ns)
     pairs = windows.generate_examples(corpus, n, "sgns", ws=ws, ns=ns, batch_size=batch)
-    assert pairs.count() == 40 * (1 + ns) * 2 * ws
+    assert pairs.count() == n * (1 + ns) * 2 * ws
     with pytest.raises(ValueError):
         windows.generate_examples(corpus, n, "glove")
 
@@ -37,6 +37,11 @@ def test_negatives_follow_the_pool(spark):
     drawn = windows.negative_samples(corpus, pool, 3, 10)
     share = drawn.where("word = 'x'").count() / drawn.count()
     assert drawn.count() == 2000 and abs(share - 2 / 3) < 0.05
+    # The pool's own size counts, given or not.
+    examples = windows.cbow_examples(corpus.limit(100), 100, 2, 3, pool=pool).collect()
+    assert len(examples) == 400 and all(r["i"] is not None for r in examples)
+    with pytest.raises(ValueError, match="empty pool"):
+        windows.cbow_examples(corpus, 200, pool=pool.limit(0))
 
 
 def test_batches_are_shuffled_per_epoch(spark):
@@ -46,7 +51,7 @@ def test_batches_are_shuffled_per_epoch(spark):
         for epoch in range(3)
     ]
     assert all(sorted(o) == list(range(10)) for o in orders) and len(set(orders)) == 3
-    assert windows.assign_batches(corpus, 105, 10).count() == 100
+    assert windows.assign_batches(corpus, 105, 10).count() == 105
 
 
 def test_external_examples_reject_unknown_words(spark):
