@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,13 +17,33 @@ BROADCAST_BYTES = 256 * 1024 * 1024
 HOT_SHARE = 1024
 
 
+# Session setting that names the library's folder; it can be set at run time.
+SCRATCH = "lexloom.scratch.dir"
+_local_folders: dict[str, str] = {}
+
+
+def choose_folder(own: str | None, cluster: str | None, master: str, app: str) -> str:
+    """The folder set for this library, else the cluster's; a temporary one for a local master only."""
+    if own or cluster:
+        return own or cluster
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise RuntimeError(f"set {SCRATCH} or spark.checkpoint.dir to a folder that all executors share")
+    if app not in _local_folders:
+        _local_folders[app] = tempfile.mkdtemp(prefix="lexloom-")
+    return _local_folders[app]
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """Folder all executors share, as the cluster names it in ``spark.checkpoint.dir``."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="lexloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    """Folder all executors share: ``lexloom.scratch.dir``, or ``spark.checkpoint.dir`` as the cluster names it."""
+    context = spark.sparkContext
+    named = (spark.conf.get(name, None) for name in (SCRATCH, "spark.checkpoint.dir"))
+    return choose_folder(*named, context.master, context.applicationId)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a table of this library through the store's own file system."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -40,13 +61,41 @@ def materialise(
     Cuts the lineage so that a lost executor costs one read, not a recomputation, and gives
     Catalyst real file sizes, column pruning and pushdown for everything built on top.
     """
+    return _stored(df, name, partition_by, session)[0]
+
+
+def _stored(df, name, partition_by=None, session=None) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return (session or spark).read.schema(df.schema).parquet(path)
+    return (session or spark).read.schema(df.schema).parquet(path), path
+
+
+class Versions:
+    """Versions of a table that replace each other; only the last one and a pinned one are kept on disk.
+
+    A version must not be read any more once the one after it has been stored.
+    """
+
+    def __init__(self, name: str, partition_by: list[str] | None = None):
+        self.name, self.partition_by = name, partition_by
+        self.last = self.pinned = None
+
+    def put(self, df: DataFrame) -> DataFrame:
+        table, path = _stored(df, self.name, self.partition_by)
+        if self.last not in (None, self.pinned):
+            delete(df.sparkSession, self.last)
+        self.last = path
+        return table
+
+    def pin(self, spark: SparkSession) -> None:
+        """Keep the last version for good, and no longer the one pinned before."""
+        if self.pinned not in (None, self.last):
+            delete(spark, self.pinned)
+        self.pinned = self.last
 
 
 def spread_small(df: DataFrame, by: list[str]) -> DataFrame:
@@ -98,8 +147,9 @@ def lookup_join(
     """Equi-join of a large table with a lookup table that has one row per key.
 
     The lookup side is broadcast only if its counted size is within the limit. Otherwise it is a
-    shuffle join in which the hot keys are salted: their rows are spread over all partitions by a
-    hash of the whole row, and their few lookup rows are copied to each. ``hot`` may name the hot
+    shuffle join in which the hot keys are salted: their rows are spread over all partitions by
+    the partition they come from and a hash of the row, so that equal rows of several partitions part and
+    a repeated task gives the same salts, and their few lookup rows are copied to each. ``hot`` may name the hot
     keys when they are known; there are never more than ``HOT_SHARE`` of them, so they are broadcast.
     ``how`` is inner, left, left_semi or left_anti.
     """
@@ -108,8 +158,9 @@ def lookup_join(
     if hot is None:
         hot = hot_keys(big, on)
     hot = F.broadcast(materialise(hot.select(*on, F.lit(True).alias("_hot")), "hot-keys"))
-    salts = int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int")
+    # More salts than partitions, as key and salt are hashed together.
+    salts = max(64, 2 * int(big.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    spread = F.pmod(F.xxhash64(*big.columns) + F.spark_partition_id(), F.lit(salts)).cast("int")
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     left = big.join(hot, on=on, how="left")
     left = left.withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0))).drop("_hot")

@@ -1,7 +1,7 @@
 """Incremental MAP estimation from a stream of examples.
 
 Each micro-batch is one step. The state after micro-batch b is the table ``state/batch=b`` in the
-given folder, complete once its marker exists; a replayed micro-batch starts from the last state
+given folder, complete once its marker exists; the last few states are kept. A replayed micro-batch starts from the last state
 before it and writes the same numbers again, so restarts neither lose nor repeat a step.
 """
 
@@ -21,13 +21,16 @@ STATE_SCHEMA = T.StructType(
     [T.StructField("ix", T.LongType())]
     + [T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("vec", "m", "v")]
 )
+# States kept: the last one and those a replay may start from.
+KEPT = 3
 STEPS_SCHEMA = "batch bigint, step bigint, state string, n bigint, log_lik double"
 
 
 def _steps(spark: SparkSession, folder: str) -> DataFrame:
     """The finished steps: one small row each."""
     try:
-        return spark.read.schema(STEPS_SCHEMA).json(f"{folder}/steps")
+        # A folder per micro-batch; its own column holds the number, so the folder's name is not read.
+        return spark.read.schema(STEPS_SCHEMA).option("recursiveFileLookup", "true").json(f"{folder}/steps")
     except Exception as missing:
         if "PATH_NOT_FOUND" in str(missing):
             return spark.createDataFrame([], STEPS_SCHEMA)
@@ -61,7 +64,10 @@ def partial_fit_batch(
     path = f"{folder}/state/batch={batch}"
     state.write.mode("overwrite").parquet(path)
     marker = spark.createDataFrame([(batch, step, path, seen["n"], seen["log_lik"])], STEPS_SCHEMA)
-    marker.coalesce(1).write.mode("append").json(f"{folder}/steps")
+    # A replayed micro-batch writes its marker again in place.
+    marker.coalesce(1).write.mode("overwrite").json(f"{folder}/steps/of={batch}")
+    for old in _steps(spark, folder).where(F.col("batch") < batch).orderBy(F.desc("batch")).select("state").collect()[KEPT - 1 : KEPT + 1]:
+        scale.delete(spark, old["state"])
 
 
 def partial_fit_stream(
