@@ -77,11 +77,14 @@ def lookup_vectors(spark, sf_dir):
 
 @register(
     "embedding_shape",
-    with_(sql.CORPUS, sql.KEYS, select=f"SELECT count(*) AS n_rows, {DIM} AS dim, count(*) AS n_keys FROM keys"),
+    with_(
+        PARTITIONED, _SHARED,
+        # Shared contexts also answer to the names with a label.
+        select=f"SELECT count(*) AS n_rows, {DIM} AS dim, count(*) + (SELECT count(*) FROM vocab WHERE label <> '') AS n_keys FROM keys",
+    ),
 )
 def embedding_shape(spark, sf_dir):
-    _, vocab, _ = corpus(spark, sf_dir)
-    return embedding.embedding_shape(fresh_model(vocab))
+    return embedding.embedding_shape(fresh_model(scale.materialise(partitioned(spark, sf_dir).vocab, "vocab")))
 
 
 # --- graphs ----------------------------------------------------------------------------------

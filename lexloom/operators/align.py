@@ -11,19 +11,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions import vectors
-from lexloom.operators.embedding import CONTEXT, EmbeddingModel, overwrite
+from lexloom.operators.embedding import CONTEXT, EmbeddingModel, located, overwrite
 from lexloom.plans import scale
 
 
-def _named(model: EmbeddingModel, keys: DataFrame, by: str, out: str) -> DataFrame:
-    wanted = keys.join(model.keys.select(F.col("key").alias(by), "ix"), on=by)
-    return wanted.join(model.theta.select("ix", F.col("vec").alias(out)), on="ix").drop("ix")
+def _rows(reference: EmbeddingModel, model: EmbeddingModel, words: DataFrame) -> DataFrame:
+    """``words(key[, key_reference])`` or ``words(word, label, role)`` with the rows they name in both models."""
+    if "key" in words.columns and "key_reference" not in words.columns:
+        words = words.withColumn("key_reference", F.col("key"))
+    found = located(words, model.keys, model.names, "key", "_here")
+    return located(found, reference.keys, reference.names, "key_reference", "_there")
 
 
 def paired_vectors(reference: EmbeddingModel, model: EmbeddingModel, words: DataFrame) -> DataFrame:
-    """``words(key, key_reference)`` with the vectors of both models."""
-    both = _named(model, words, "key", "vec")
-    return _named(reference, both, "key_reference", "vec_reference")
+    """The named words with the vectors of both models."""
+    here = model.theta.select(F.col("ix").alias("_here"), "vec")
+    there = reference.theta.select(F.col("ix").alias("_there"), F.col("vec").alias("vec_reference"))
+    return _rows(reference, model, words).join(here, "_here").join(there, "_there").drop("_here", "_there")
 
 
 def cross_product(pairs: DataFrame, dim: int) -> DataFrame:
@@ -63,10 +67,7 @@ def alignment_checks(
 ) -> DataFrame:
     """One row: word pairs, those missing in either model, both dimensions, and whether there are
     enough words to determine a rotation."""
-    here = model.keys.select("key", F.lit(1).alias("_here"))
-    there = reference.keys.select(F.col("key").alias("key_reference"), F.lit(1).alias("_there"))
-    marked = scale.lookup_join(words, here, ["key"], how="left")
-    marked = scale.lookup_join(marked, there, ["key_reference"], how="left")
+    marked = _rows(reference, model, words)
     count = F.count(F.lit(1))
     return marked.agg(
         count.alias("n_words"),
@@ -83,11 +84,9 @@ def align(
 ) -> EmbeddingModel:
     """Rotate ``model`` (reflections allowed) as close as possible to ``reference`` on the words.
 
-    ``words(key[, key_reference])`` name the vectors to compare. Only a D x D matrix reaches the driver.
+    ``words(key[, key_reference])`` or ``words(word, label, role)`` name the vectors to compare. Only a D x D
+    matrix reaches the driver.
     """
-    if "key_reference" not in words.columns:
-        words = words.withColumn("key_reference", F.col("key"))
-    words = words.select("key", "key_reference")
     found = alignment_checks(reference, model, words).first()
     if found["dim"] != found["dim_reference"]:
         raise ValueError(f"vectors differ in length: {found['dim']} and {found['dim_reference']}")
@@ -105,7 +104,8 @@ def normalize_rotation(model: EmbeddingModel, words: Sequence[str]) -> Embedding
     """Rotate all vectors so that the block of the D chosen words is upper triangular."""
     if len(words) != model.dim:
         raise ValueError(f"a rotation in {model.dim} dimensions is normalised by {model.dim} words, not {len(words)}")
-    chosen = model.vectors().where(F.col("key").isin(list(words))).select("key", "vec").collect()
+    asked = model.theta.sparkSession.createDataFrame([(w,) for w in words], "key string")
+    chosen = located(asked, model.keys, model.names, how="inner").join(model.theta, "ix").select("key", "vec").collect()
     block = {r["key"]: r["vec"] for r in chosen}
     missing = [w for w in words if w not in block]
     if missing:
@@ -135,22 +135,23 @@ def transfer_embeddings(
 
 
 def posterior_mean(models: Sequence[EmbeddingModel]) -> EmbeddingModel:
-    """Align every model with the last one on the context vectors, then average key by key.
+    """Align every model with the last one on the context vectors, then average row by row.
 
     All models must have the same keys.
     """
     reference = models[-1]
-    contexts = reference.keys.where(F.col("role") == CONTEXT).select("key")
+    row = ["word", "label", "role"]
+    contexts = reference.keys.where(F.col("role") == CONTEXT).select(*row)
     total = None
     for model in models:
         turned = align(reference, model, contexts)
-        named = turned.keys.select("key", "ix").join(turned.theta, on="ix").select("key", "vec")
+        named = turned.keys.select(*row, "ix").join(turned.theta, on="ix").select(*row, "vec")
         total = named if total is None else total.unionByName(named)
-    summed = vectors.sum_vectors(total, ["key"], "vec", reference.dim, F.count(F.lit(1)).alias("_n"))
+    summed = vectors.sum_vectors(total, row, "vec", reference.dim, F.count(F.lit(1)).alias("_n"))
     summed = scale.materialise(summed, "posterior-sum")
     short = summed.where(F.col("_n") != len(models)).limit(1).count()
     if short:
         raise ValueError("the models do not have the same keys")
     mean = vectors.scale(F.col("vec"), F.lit(1.0 / len(models)))
-    theta = summed.join(reference.keys.select("key", "ix"), on="key").select("ix", mean.alias("vec"))
+    theta = summed.join(reference.keys.select(*row, "ix"), on=row).select("ix", mean.alias("vec"))
     return reference.with_theta(theta)

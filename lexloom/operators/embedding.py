@@ -3,11 +3,17 @@
 ``keys(word, label, role, key, ix)`` names the rows: role 'w' for word vectors, 'c' for context
 vectors. ``theta(ix, vec)`` holds the vectors. With shared contexts a context vector belongs to
 the word whatever its label, so its ``label`` is ''.
+
+A row is identified by word, label and role. The string ``key`` is a name for it: names are looked up in
+``names``, where a shared context also answers to the name with a label (``dog_2010_c``), and a string that
+names two rows (``vitamin_c``: the word, or the context of ``vitamin``) is an error when it is asked for.
+Requests may give ``word, label, role`` instead, which always name one row.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +37,15 @@ class EmbeddingModel:
     lambda1: float | None = None
 
     def with_theta(self, theta: DataFrame) -> "EmbeddingModel":
-        return replace(self, theta=theta)
+        other = replace(self, theta=theta)
+        if "names" in self.__dict__:
+            other.__dict__["names"] = self.names
+        return other
+
+    @cached_property
+    def names(self) -> DataFrame:
+        """``(key, ix, n_named)``: every name, a row it names, and how many rows it names; stored once."""
+        return scale.materialise(names_of(self.keys), "names")
 
     def vectors(self, role: str | None = None) -> DataFrame:
         """Keys with their vectors, optionally of one role."""
@@ -44,6 +58,39 @@ def key_name(word: Column, label: Column, role: Column) -> Column:
     return F.when(role == CONTEXT, F.concat(name, F.lit("_c"))).otherwise(name)
 
 
+def names_of(keys: DataFrame) -> DataFrame:
+    """``(key, ix, n_named)`` of a key table; contexts without a label are also named with their word's labels."""
+    contexts = keys.where(F.col("role") == CONTEXT)
+    labelled = keys.where((F.col("role") == WORD) & (F.col("label") != "")).select("word", "label")
+    without = labelled.join(contexts.select("word", "label"), ["word", "label"], "left_anti")
+    shared = without.join(contexts.where("label = ''").select("word", "ix"), "word")
+    more = shared.select(key_name(F.col("word"), F.col("label"), F.lit(CONTEXT)).alias("key"), "ix")
+    every = keys.select("key", "ix").unionByName(more)
+    return every.groupBy("key").agg(F.min("ix").alias("ix"), F.count_distinct("ix").alias("n_named"))
+
+
+def check_unambiguous(requests: DataFrame, names: DataFrame, key: str = "key") -> None:
+    """Raise if a requested name names two rows. Nearly always no name does, and the requests are not read."""
+    twice = names.where("n_named > 1").select(F.col("key").alias(key))
+    if twice.isEmpty():
+        return
+    asked = scale.lookup_join(requests.select(key), twice, [key], how="left_semi")
+    found = [r[key] for r in asked.distinct().limit(5).collect()]
+    if found:
+        raise ValueError(f"these names fit two rows each, give word, label and role instead: {found}")
+
+
+def located(
+    requests: DataFrame, keys: DataFrame, names: DataFrame, key: str = "key", out: str = "ix", how: str = "left"
+) -> DataFrame:
+    """``requests`` with the row ``out`` they name: by ``word, label, role`` if there is no column ``key``."""
+    if key not in requests.columns:
+        exact = keys.select("word", "label", "role", F.col("ix").alias(out))
+        return scale.lookup_join(requests, exact, ["word", "label", "role"], how=how)
+    check_unambiguous(requests, names, key)
+    return scale.lookup_join(requests, names.select(F.col("key").alias(key), F.col("ix").alias(out)), [key], how=how)
+
+
 def _keys(entries: DataFrame) -> DataFrame:
     keys = scale.dense_index(entries, ["role", "word", "label"], "ix")
     name = key_name(F.col("word"), F.col("label"), F.col("role"))
@@ -124,24 +171,29 @@ def encode_corpus(model: EmbeddingModel, corpus: DataFrame) -> DataFrame:
 
 
 def lookup_vectors(model: EmbeddingModel, requests: DataFrame, strict: bool = True) -> DataFrame:
-    """Vectors for ``requests(key, ...)``; repeats are kept. A miss raises, or drops if not strict."""
-    found = scale.lookup_join(
-        requests, model.keys.select("key", "ix"), ["key"], how="left" if strict else "inner"
-    )
+    """Vectors for ``requests(key, ...)`` or ``requests(word, label, role, ...)``; repeats are kept.
+
+    A miss raises, or drops if not strict.
+    """
+    found = located(requests, model.keys, model.names, how="left" if strict else "inner")
     if strict:
-        missing = found.where("ix is null")
-        if missing.limit(1).count():
-            sample = [r["key"] for r in missing.select("key").distinct().limit(5).collect()]
-            raise ValueError(f"not in the embedding: {sample}")
+        _check_found(found)
     return scale.lookup_join(found, model.theta, ["ix"], dim=model.dim)
 
 
 def contains(model: EmbeddingModel, requests: DataFrame) -> DataFrame:
     """``requests`` with a flag for the keys the model has."""
-    known = model.keys.select("key", F.lit(True).alias("known"))
-    return scale.lookup_join(requests, known, ["key"], how="left").withColumn(
-        "known", F.coalesce("known", F.lit(False))
-    )
+    on = ["key"] if "key" in requests.columns else ["word", "label", "role"]
+    known = (model.names if on == ["key"] else model.keys).select(*on, F.lit(True).alias("known"))
+    return scale.lookup_join(requests, known, on, how="left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
+def _check_found(rows: DataFrame) -> None:
+    missing = rows.where("ix is null")
+    if missing.limit(1).count():
+        named = ["key"] if "key" in rows.columns else ["word", "label", "role"]
+        sample = ["/".join(map(str, r)) for r in missing.select(*named).distinct().limit(5).collect()]
+        raise ValueError(f"not in the embedding: {sample}")
 
 
 def _check_unique(updates: DataFrame) -> None:
@@ -150,12 +202,9 @@ def _check_unique(updates: DataFrame) -> None:
 
 
 def update_vectors(model: EmbeddingModel, updates: DataFrame) -> EmbeddingModel:
-    """Overwrite the vectors of ``updates(key, vec)``; unknown or repeated keys raise."""
-    named = updates.join(model.keys.select("key", "ix"), on="key", how="left")
-    named = scale.materialise(named.select("key", "ix", F.col("vec").alias("_new")), "updates")
-    if named.where("ix is null").limit(1).count():
-        sample = [r["key"] for r in named.where("ix is null").limit(5).collect()]
-        raise ValueError(f"not in the embedding: {sample}")
+    """Overwrite the vectors of ``updates(key, vec)`` or ``(word, label, role, vec)``; unknown or repeated rows raise."""
+    named = scale.materialise(located(updates, model.keys, model.names).withColumnRenamed("vec", "_new"), "updates")
+    _check_found(named)
     _check_unique(named)
     return model.with_theta(overwrite(model.theta, named.select("ix", "_new")))
 
@@ -169,7 +218,7 @@ def overwrite(theta: DataFrame, new: DataFrame) -> DataFrame:
 def embedding_shape(model: EmbeddingModel) -> DataFrame:
     """One row: vectors, their length, and the number of keys that name them."""
     rows = model.theta.agg(F.count(F.lit(1)).alias("n_rows"), F.max(F.size("vec")).alias("dim"))
-    return rows.crossJoin(model.keys.agg(F.count(F.lit(1)).alias("n_keys")))
+    return rows.crossJoin(model.names.agg(F.count(F.lit(1)).alias("n_keys")))  # one row each
 
 
 def squared_norm_total(theta: DataFrame) -> DataFrame:

@@ -17,7 +17,11 @@ def filter_edges(edges: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFram
     """
     if "weight" not in edges.columns:
         edges = edges.withColumn("weight", F.lit(1.0))
-    names = keys.select("key", "ix")
+    from lexloom.operators.embedding import check_unambiguous, names_of
+
+    names = scale.materialise(names_of(keys), "names")
+    for end in ("key1", "key2"):
+        check_unambiguous(edges, names, end)
     first = names.select(F.col("key").alias("key1"), F.col("ix").alias("_a"))
     second = names.select(F.col("key").alias("key2"), F.col("ix").alias("_b"))
     both = scale.lookup_join(scale.lookup_join(edges, first, ["key1"]), second, ["key2"])

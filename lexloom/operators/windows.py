@@ -220,17 +220,31 @@ def batch_order(df: DataFrame, batches: int, epoch: int = 0, seed: int = 0) -> D
 
 
 def external_examples(pairs: DataFrame, keys: DataFrame) -> DataFrame:
-    """Supplied ``(i, j, x)`` rows of word names as ``(i, j, x)`` of row indices.
+    """Supplied ``(i, j, x)`` or ``(i, ctx, x)`` rows of names as rows of indices.
 
-    A name outside the vocabulary is an error.
+    ``i``, ``j`` and the elements of ``ctx`` name rows of either role. A name outside the vocabulary, or one
+    that names two rows, is an error.
     """
-    words = keys.where("role = 'w'").select(F.col("key").alias("i"), F.col("ix").alias("_i"))
-    contexts = keys.where("role = 'c'").select(F.col("key").alias("j"), F.col("ix").alias("_j"))
-    known = scale.lookup_join(pairs, words, ["i"], how="left")
-    known = scale.lookup_join(known, contexts, ["j"], how="left")
-    missing = known.where("_i is null or _j is null")
-    if missing.limit(1).count():
-        sample = [r.asDict() for r in missing.select("i", "j").limit(5).collect()]
-        raise ValueError(f"examples name words outside the vocabulary, such as {sample}")
-    others = [c for c in pairs.columns if c not in ("i", "j")]
-    return known.select(F.col("_i").alias("i"), F.col("_j").alias("j"), *others)
+    from lexloom.operators.embedding import check_unambiguous, names_of
+
+    names = scale.materialise(names_of(keys), "names")
+    others = [c for c in pairs.columns if c not in ("i", "j", "ctx")]
+
+    def numbered(rows: DataFrame, column: str) -> DataFrame:
+        check_unambiguous(rows, names, column)
+        found = names.select(F.col("key").alias(column), F.col("ix").alias("_ix"))
+        found = scale.lookup_join(rows, found, [column], how="left")
+        missing = found.where(F.col("_ix").isNull()).select(column)
+        sample = [r[column] for r in missing.limit(5).collect()]
+        if sample:
+            raise ValueError(f"examples name words outside the vocabulary, such as {sample}")
+        return found.drop(column).withColumnRenamed("_ix", column)
+
+    if "ctx" not in pairs.columns:
+        return numbered(numbered(pairs, "i"), "j").select("i", "j", *others)
+    # The contexts of a row are looked up one by one and put together again in their order.
+    rows = scale.materialise(pairs.withColumn("_row", F.monotonically_increasing_id()), "examples")
+    flat = numbered(rows.select("_row", F.posexplode("ctx").alias("_k", "j")), "j")
+    ctx = flat.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_k", "j"))).getField("j").alias("ctx"))
+    placed = numbered(rows.drop("ctx"), "i").join(ctx, "_row", "left")
+    return placed.select("i", F.coalesce("ctx", F.array().cast("array<bigint>")).alias("ctx"), *others)
