@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lexloom.catalog import inputs
 from lexloom.catalog import sqlparts as sql
+from lexloom.catalog import unrolled
 from lexloom.catalog.corpus_queries import PARTITIONED
 from lexloom.catalog.inputs import corpus, fresh_model, long_vectors, partitioned, r6
 from lexloom.catalog.sqlparts import BATCH, DIM, NS, SEED, WS, with_
@@ -363,7 +364,18 @@ def _map(model, tokens, size, **options):
     return map_fit.map_estimate(model, tokens, batch_size=-(-size // 2), ws=WS, ns=NS, seed=SEED, **options)
 
 
-@register("map_estimate")
+_CBOW_FIT, _CBOW_STATE = unrolled.fit("cbow", 16, 1)
+_SGNS_FIT, _ = unrolled.fit("sgns", 16, 2)
+
+
+@register(
+    "map_estimate",
+    with_(
+        _CBOW_FIT,
+        select=f"""SELECT word || CASE WHEN role = 'c' THEN '_c' ELSE '' END AS key, {_LONG}
+FROM {_CBOW_STATE} JOIN keys USING (ix)""",
+    ),
+)
 def map_estimate(spark, sf_dir):
     tokens, vocab, size = corpus(spark, sf_dir)
     return long_vectors(_map(fresh_model(vocab, 16), tokens, size, epochs=1).model.vectors(), ["key"])
@@ -377,10 +389,18 @@ def map_estimate_validated(spark, sf_dir):
     return fit.history
 
 
-@register("training_history")
+@register(
+    "training_history",
+    with_(
+        _SGNS_FIT,
+        select=f"""SELECT epoch::INT AS epoch, {sql.r6('avg(loss)')} AS mean_loss, count(*) AS batches, sum(n)::BIGINT AS n
+FROM losses GROUP BY epoch""",
+    ),
+)
 def training_history(spark, sf_dir):
     tokens, vocab, size = corpus(spark, sf_dir)
-    return map_fit.training_history(_map(fresh_model(vocab, 16), tokens, size, epochs=2, kind="sgns"))
+    found = map_fit.training_history(_map(fresh_model(vocab, 16), tokens, size, epochs=2, kind="sgns"))
+    return found.withColumn("mean_loss", r6(F.col("mean_loss")))
 
 
 @register("similarity_during_training")

@@ -53,9 +53,24 @@ def export_json(model: EmbeddingModel, path: str, mode: str = "errorifexists") -
     """JSON lines: one per key with its vector, one per edge, and the settings."""
     model.vectors().write.mode(mode).json(f"{path}/vectors")
     if model.edges is not None:
-        names = model.keys.select("ix", "key")
+        names = model.keys.select("ix", "key")  # the indices identify the ends, the names are for readers
         ends = model.edges.join(
             names.select(F.col("ix").alias("src"), F.col("key").alias("source")), on="src"
         ).join(names.select(F.col("ix").alias("dst"), F.col("key").alias("target")), on="dst")
-        ends.select("source", "target", "weight").write.mode(mode).json(f"{path}/edges")
+        ends.select("src", "dst", "source", "target", "weight").write.mode(mode).json(f"{path}/edges")
     _meta(model).coalesce(1).write.mode(mode).json(f"{path}/meta")
+
+
+VECTORS_SCHEMA = "word string, label string, role string, key string, ix bigint, vec array<double>"
+
+
+def load_json(spark: SparkSession, path: str) -> EmbeddingModel:
+    """A model that ``export_json`` wrote, with its graph if it has one."""
+    meta = spark.read.schema(META).json(f"{path}/meta").first()
+    rows = spark.read.schema(VECTORS_SCHEMA).json(f"{path}/vectors")
+    edges = None
+    if meta["has_graph"]:
+        edges = spark.read.schema("src bigint, dst bigint, weight double").json(f"{path}/edges")
+    return EmbeddingModel(
+        rows.drop("vec"), rows.select("ix", "vec"), meta["dim"], meta["lambda0"], meta["shared"], edges, meta["lambda1"]
+    )

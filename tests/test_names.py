@@ -65,3 +65,16 @@ def test_supplied_examples_may_name_words_and_contexts(spark, model):
     assert got == {milk: [dog, ix[("milk", "", "c")], dog], ix[("dog", "2010", "w")]: []}
     with pytest.raises(ValueError, match="outside the vocabulary"):
         windows.external_examples(wide.withColumn("ctx", F.array(F.lit("zebra"))), model.keys)
+
+
+def test_json_round_trip(spark, tmp_path):
+    from lexloom.sources import models
+
+    vocab = spark.createDataFrame(VOCAB, "word string, label string")
+    edges = spark.createDataFrame([("dog_2010", "dog_2011", 2.0)], "key1 string, key2 string, weight double")
+    model = embedding.new_embedding(vocab, 3, edges=edges, lambda1=4.0)
+    models.export_json(model, str(tmp_path / "json"))
+    back = models.load_json(spark, str(tmp_path / "json"))
+    assert sorted(map(str, back.vectors().select(*model.vectors().columns).collect())) == sorted(map(str, model.vectors().collect()))
+    assert [tuple(r) for r in back.edges.collect()] == [tuple(r) for r in model.edges.select("src", "dst", "weight").collect()]
+    assert (back.dim, back.lambda0, back.lambda1, back.shared) == (model.dim, model.lambda0, model.lambda1, model.shared)
