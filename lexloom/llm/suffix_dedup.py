@@ -44,10 +44,11 @@ MATCH = 200
 GRAM = 32
 STRIDE = 40  # divides MATCH
 SLICE = 1 << 18  # bytes of text whose anchors are found at a time
-SHARD_BYTES = 1 << 19
-BUCKET_BYTES = 1 << 21
+SHARD_BYTES = 1 << 16
+BUCKET_BYTES = 1 << 18  # small enough for a processor's cache
 MOST_PIECES = 1 << 15
 FILTER_BITS = (1 << 16, 1 << 28)  # least and greatest size of the filter of repeated names: 32 MB at most
+SOME_ROWS = 2000  # texts whose runs are held as lists at a time
 _BASE = 0x2B5AD4C7F3A1D96B | 1
 
 
@@ -196,7 +197,7 @@ def transform(words: np.ndarray, begin: np.ndarray, length: np.ndarray) -> Trans
 
     following = np.concatenate([np.arange(strings), following])
     symbol = words[place]
-    rank = np.concatenate([np.arange(strings), strings + _dense(symbol)])
+    rank = np.concatenate([np.arange(strings), strings + symbol])
     total = strings + rows
     while True:
         order = _order(rank, rank[following])
@@ -348,7 +349,7 @@ def marked(docs: DataFrame, key: str, text: str, names: np.ndarray) -> DataFrame
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = shared.value
-        for batch in batches:
+        for batch in (b.slice(at, SOME_ROWS) for b in batches for at in range(0, b.num_rows, SOME_ROWS)):
             texts = [(v or "").encode() for v in batch.column("text").to_pylist()]
             runs: list[list | None] = [None] * len(texts)
             for at, r in anchors(texts):
