@@ -43,7 +43,8 @@ SCALE = 20.0  # brings shares of n-grams to the size the learning rate expects
 TEMPERATURES = np.exp(np.linspace(np.log(0.05), np.log(20.0), 121))
 HOLD_SEED = 2
 UNKNOWN = "und"
-SLICE_CHARS = 1 << 21
+SLICE_CHARS = 1 << 17  # characters and texts whose n-grams a task holds at a time
+SLICE_ROWS = 64
 
 
 def held_out(key: Column) -> Column:
@@ -56,7 +57,10 @@ def has_letter(text: Column) -> Column:
 
 def _letters() -> np.ndarray:
     """Which code points are letters."""
-    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+    known = np.zeros(0x110000, bool)
+    # No letters lie beyond the first four planes.
+    known[:0x40000] = np.fromiter((chr(c).isalpha() for c in range(0x40000)), bool, 0x40000)
+    return known
 
 
 def _mixed(values: np.ndarray, order: int) -> np.ndarray:
@@ -73,14 +77,15 @@ class Grams:
 
     def batches(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """``(first, features, bounds)``: the features of texts ``first + i`` are ``features[bounds[i]:bounds[i + 1]]``."""
-        values, first = texts.to_pylist(), 0
-        while first < len(values):
-            last, chars = first, 0
-            while last < len(values) and (last == first or chars + len(values[last] or "") <= SLICE_CHARS):
-                chars += len(values[last] or "")
-                last += 1
-            yield (first, *self._features([v or "" for v in values[first:last]]))
-            first = last
+        for at in range(0, len(texts), SLICE_ROWS):
+            values, first = texts.slice(at, SLICE_ROWS).to_pylist(), 0
+            while first < len(values):
+                last, chars = first, 0
+                while last < len(values) and (last == first or chars + len(values[last] or "") <= SLICE_CHARS):
+                    chars += len(values[last] or "")
+                    last += 1
+                yield (at + first, *self._features([v or "" for v in values[first:last]]))
+                first = last
 
     def _features(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         # A line break, which lower() never makes, stands between texts; inside them it is a space.
@@ -266,16 +271,18 @@ def train(
 def predict(docs: DataFrame, model: Model | None, keep: list[str], text: str = "text") -> DataFrame:
     """``keep``, ``lang_pred`` and ``score`` of every row, in this order; names in ``keep`` may be anything."""
     inner = [f"_k{i}" for i in range(len(keep))]
+    # The text goes to the tasks once, also where it is kept.
+    read = inner[keep.index(text)] if text in keep else "_text"
     source = docs.select(
         *[F.col(c).alias(n) for c, n in zip(keep, inner, strict=True)],
+        *([] if text in keep else [F.col(text).alias("_text")]),
         has_letter(F.col(text)).alias("_some"),
-        F.col(text).alias("_text"),
     )
     outer = [*keep, "lang_pred", "score"]
     if model is None:
         return source.select(*inner, F.lit(UNKNOWN), F.lit(0.0)).toDF(*outer)
     shared = docs.sparkSession.sparkContext.broadcast((model.labels, model.table, model.temperature))
-    schema = T.StructType([*source.schema.fields[:-2], *T.StructType.fromDDL("lang_pred string, score double").fields])
+    schema = T.StructType([*source.schema.fields[: len(keep)], *T.StructType.fromDDL("lang_pred string, score double").fields])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, model = Grams(), Model(*shared.value)
@@ -283,13 +290,13 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str], text: str = "
         for batch in batches:
             some = np.asarray(batch.column("_some"))
             best, score = np.full(batch.num_rows, len(model.labels)), np.zeros(batch.num_rows)
-            for first, features, bounds in grams.batches(batch.column("_text")):
+            for first, features, bounds in grams.batches(batch.column(read)):
                 p = _softmax(model.logits(features, bounds) / model.temperature)
                 at = slice(first, first + len(p))
                 best[at] = np.where(some[at], p.argmax(axis=1), len(model.labels))
                 score[at] = np.where(some[at], p.max(axis=1), 0.0)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-2], labels.take(pa.array(best)), pa.array(score)], names=schema.fieldNames()
+                [*batch.columns[: len(keep)], labels.take(pa.array(best)), pa.array(score)], names=schema.fieldNames()
             )
 
     return source.mapInArrow(scored, schema).toDF(*outer)
