@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,5 +47,13 @@ def free_name(docs: DataFrame, wanted: str) -> str:
 
 
 def numbered(docs: DataFrame, name: str) -> DataFrame:
-    """The documents stored once with a number per row, which tells apart rows that agree in everything."""
-    return scale.materialise(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    """The documents with an identity per row, which tells apart rows that agree in everything.
+
+    A table read from files has one: the file and the row's place in it. Any other is stored with numbers.
+    """
+    try:
+        place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+        return docs.withColumn(name, place)
+    except AnalysisException:
+        place = F.struct(F.lit(0).cast("bigint").alias("file"), F.monotonically_increasing_id().alias("at"))
+        return scale.materialise(docs.withColumn(name, place), "numbered")
