@@ -5,7 +5,7 @@ parts of texts that can repeat at all, in these steps:
 
 1. *Anchors.* A window of ``MATCH`` bytes is named by the least hash of the ``GRAM``-byte strings in it. Equal
    windows have equal names, and neighbouring windows mostly share theirs, so a text becomes runs of windows, about one
-   for every 85 bytes. Names are counted over all texts.
+   for every 70 bytes. Names are counted over all texts.
 2. *Pieces.* Runs whose name occurs again (or that repeat within themselves) become pieces of text. Equal pieces
    are collapsed and counted; all of a piece that occurs twice is repeated.
 3. *Transforms.* Distinct pieces are dealt to buckets by name, so equal windows meet in one bucket. A bucket is cut into
@@ -41,7 +41,7 @@ from pyspark.sql import types as T
 from lexloom.plans import scale
 
 MATCH = 200
-GRAM = 32
+GRAM = 64
 STRIDE = 40  # divides MATCH
 SLICE = 1 << 18  # bytes of text whose anchors are found at a time
 SHARD_BYTES = 1 << 16
