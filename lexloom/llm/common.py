@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from py4j.protocol import Py4JError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,14 +47,31 @@ def free_name(docs: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def _plain_read(docs: DataFrame) -> bool:
+    """Whether every row is a row of a file of its own: one read, its rows at most filtered and its columns computed."""
+    node = docs._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().head()
+    if not node.nodeName().startswith("LogicalRelation") and not node.nodeName().startswith("Relation"):
+        return False
+    try:
+        paths = node.relation().location().rootPaths()
+    except Py4JError:  # not files
+        return False
+    return paths.distinct().size() == paths.size()
+
+
 def numbered(docs: DataFrame, name: str) -> DataFrame:
     """The documents with an identity per row, which tells apart rows that agree in everything.
 
-    A table read from files has one: the file and the row's place in it. Any other is stored with numbers.
+    A plain read of files has one: the file and the row's place in it. Any other table, also one made from a read by
+    explode, join or union, is stored with numbers.
     """
-    try:
-        place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
-        return docs.withColumn(name, place)
-    except AnalysisException:
-        place = F.struct(F.lit(0).cast("bigint").alias("file"), F.monotonically_increasing_id().alias("at"))
-        return scale.materialise(docs.withColumn(name, place), "numbered")
+    if _plain_read(docs):
+        try:
+            place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+            return docs.withColumn(name, place)
+        except AnalysisException:
+            pass
+    place = F.struct(F.lit(0).cast("bigint").alias("file"), F.monotonically_increasing_id().alias("at"))
+    return scale.materialise(docs.withColumn(name, place), "numbered")
