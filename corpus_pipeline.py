@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm import exact_dedup, language_id, mixing, shingle_jaccard, vector_packing
+from lexloom.llm import exact_dedup, language_id, mixing, simhash, vector_packing
 from lexloom.plans import scale
 
 LEAST_PROBABILITY = 0.5
@@ -26,8 +26,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-copies (five-word shingles, a similarity of 0.8 or more) the row with the smallest id stays."""
-    return shingle_jaccard.without_near_copies(docs)
+    """Of each component of linked fingerprints (op 8: three-word shingles, at most 3 bits apart) the row with the smallest id stays."""
+    return simhash.without_near_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
