@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import chat_format, exact_dedup, language_id, mixing, quality_rules, simhash, suffix_dedup, token_output, vector_packing, warc
+from lexloom.llm import chat_format, exact_dedup, filter_audit, language_id, mixing, quality_rules, simhash, suffix_dedup, token_output, vector_packing, warc
 from lexloom.llm.common import SQL_WORD, numbered, table, word_count
 from lexloom.plans import scale
 
@@ -250,3 +250,45 @@ def op9_mixing(spark, sf_dir):
 @register("op10_vector_packing")
 def op10_vector_packing(spark, sf_dir):
     return vector_packing.packed_documents(table(spark, sf_dir, "documents"))
+
+
+# --- 11: filter interaction audit ------------------------------------------------------------
+
+
+@register(
+    "op11_filter_audit",
+    f"""
+WITH docs AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{SQL_WORD}') AS w
+  FROM documents),
+first AS (SELECT t, min(doc_id) AS low FROM docs GROUP BY t),
+named AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+masked AS (
+  SELECT part, (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+    + 4 * (100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT
+    + 16 * (doc_id > low)::INT AS mask, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+  FROM docs JOIN first USING (t) LEFT JOIN named USING (doc_id)),
+counts AS (
+  SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM masked GROUP BY part, mask),
+letters AS (SELECT unnest(string_split('ABCDE', '')) AS c),
+orders AS (
+  SELECT v.c || w.c || x.c || y.c || z.c AS filter_order FROM letters v, letters w, letters x, letters y, letters z
+  WHERE len(list_distinct([v.c, w.c, x.c, y.c, z.c])) = 5),
+steps AS (
+  SELECT filter_order, step, 1 << (ascii(filter_order[step]) - 65) AS bit,
+    list_sum([0] || list_transform(string_split(filter_order[:step - 1], ''), lambda c: CASE WHEN c = '' THEN 0 ELSE 1 << (ascii(c) - 65) END)) AS gone
+  FROM orders, (SELECT unnest(range(1, 6))::INT AS step)),
+found AS (
+  SELECT part, filter_order, step, bit,
+    sum(CASE WHEN mask & (gone::INT | bit) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+    sum(CASE WHEN mask & gone::INT = 0 AND mask & bit <> 0 THEN n ELSE 0 END)::BIGINT AS removed,
+    sum(CASE WHEN mask & gone::INT <> 0 AND mask & bit <> 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+    sum(CASE WHEN mask = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+    sum(CASE WHEN mask & gone::INT = 0 AND mask & bit <> 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+    sum(CASE WHEN mask & gone::INT = 0 AND mask & bit <> 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM counts, steps GROUP BY part, filter_order, step, bit)
+SELECT * EXCLUDE (bit), (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM found
+""",
+)
+def op11_filter_audit(spark, sf_dir):
+    return filter_audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
