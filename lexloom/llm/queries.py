@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import chat_format, exact_dedup, filter_audit, language_id, mixing, quality_rules, simhash, suffix_dedup, token_output, vector_packing, warc
+from lexloom.llm import chat_format, exact_dedup, filter_audit, language_id, merkle, mixing, quality_rules, simhash, suffix_dedup, token_output, vector_packing, warc
 from lexloom.llm.common import SQL_WORD, numbered, table, word_count
 from lexloom.plans import scale
 
@@ -292,3 +292,57 @@ SELECT * EXCLUDE (bit), (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS
 )
 def op11_filter_audit(spark, sf_dir):
     return filter_audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+# --- 12: Merkle dataset manifest -------------------------------------------------------------
+
+_FIELDS_SQL = " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in merkle.FIELDS)
+_CHANGED_SQL = _FIELDS_SQL.replace("n_chars::VARCHAR", "(n_chars + 1)::VARCHAR")
+# CRC-32 of a decimal number, digit by digit and bit by bit.
+_CRC_SQL = """xor(4294967295, list_reduce([4294967295] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+    lambda crc, c: list_reduce([xor(crc, c), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: xor(a >> 1, (a & 1) * 3988292384))))"""
+
+
+@register(
+    "op12_merkle_manifest",
+    f"""
+WITH RECURSIVE
+leaf AS (
+  SELECT doc_id, lang, sha256({_FIELDS_SQL}) AS leaf,
+    CASE WHEN {_CRC_SQL} % 7 = 0 THEN sha256({_CHANGED_SQL}) ELSE sha256({_FIELDS_SQL}) END AS folded,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS rank
+  FROM documents),
+up AS (
+  SELECT lang, 0 AS lv, list(leaf ORDER BY rank) AS nodes FROM leaf GROUP BY lang
+  UNION ALL
+  SELECT lang, lv + 1, list_transform(range(0, len(nodes), 2), lambda i: sha256(nodes[i + 1] || coalesce(nodes[i + 2], '')))
+  FROM up WHERE len(nodes) > 1),
+subroots AS (
+  SELECT lang, lv AS depth, nodes[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS rank FROM up WHERE len(nodes) = 1),
+top AS (
+  SELECT 0 AS lv, list(subroot ORDER BY rank) AS nodes FROM subroots
+  UNION ALL
+  SELECT lv + 1, list_transform(range(0, len(nodes), 2), lambda i: sha256(nodes[i + 1] || coalesce(nodes[i + 2], '')))
+  FROM top WHERE len(nodes) > 1),
+steps AS (
+  SELECT doc_id, lv AS step, (l.rank >> lv) & 1 AS digit, nodes[xor(l.rank >> lv, 1) + 1] AS sibling
+  FROM leaf l JOIN up u ON l.lang IS NOT DISTINCT FROM u.lang WHERE len(nodes) > 1
+  UNION ALL
+  SELECT doc_id, s.depth + lv, (s.rank >> lv) & 1, nodes[xor(s.rank >> lv, 1) + 1]
+  FROM leaf l JOIN subroots s ON l.lang IS NOT DISTINCT FROM s.lang, top WHERE len(nodes) > 1),
+folding AS (
+  SELECT doc_id, 0::BIGINT AS step, folded AS value FROM leaf
+  UNION ALL
+  SELECT f.doc_id, f.step + 1, CASE WHEN sibling IS NULL THEN sha256(value) WHEN digit = 1 THEN sha256(sibling || value)
+    ELSE sha256(value || sibling) END
+  FROM folding f JOIN steps s ON f.doc_id = s.doc_id AND f.step = s.step),
+proofs AS (SELECT doc_id, string_agg(sibling, '' ORDER BY step) AS siblings FROM steps GROUP BY doc_id),
+ends AS (SELECT doc_id, arg_max(value, step) AS folded_root FROM folding GROUP BY doc_id),
+root AS (SELECT nodes[1] AS root FROM top WHERE len(nodes) = 1)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(siblings, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM leaf JOIN subroots s ON leaf.lang IS NOT DISTINCT FROM s.lang JOIN ends USING (doc_id) LEFT JOIN proofs USING (doc_id), root
+""",
+)
+def op12_merkle_manifest(spark, sf_dir):
+    leaves = merkle.document_leaves(table(spark, sf_dir, "documents"), merkle.tampered(F.col("doc_id")))
+    return merkle.prove(merkle.manifest(leaves, carry=["changed"]), changed="changed")
