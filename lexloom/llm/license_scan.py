@@ -44,9 +44,10 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         distributed under the license is distributed on an as is basis without warranties or conditions of any kind either
         express or implied see the license for the specific language governing permissions and limitations under the license""",
     ),
-    "cc-by-notice": (
-        """licensed under <<optional>>a<<end>> <<optional>>the<<end>> cc by <<any 1-2>>""",
-        """licensed under <<optional>>a<<end>> <<optional>>the<<end>> creative commons attribution <<any 0-4>> <<optional>>international<<end>> license""",
+    "cc-by-4.0-notice": (
+        "licensed under <<optional>>a<<end>> <<optional>>the<<end>> cc by 4 0",
+        """licensed under <<optional>>a<<end>> <<optional>>the<<end>> creative commons attribution 4 0 <<optional>>international<<end>>
+        <<optional>>public<<end>> license""",
     ),
     "cc-by-nc-4.0-notice": (
         "licensed under <<optional>>a<<end>> <<optional>>the<<end>> cc by nc 4 0",

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import chat_format, exact_dedup, filter_audit, language_id, merkle, mixing, quality_rules, simhash, suffix_dedup, token_output, vector_packing, warc
+from lexloom.llm import chat_format, exact_dedup, filter_audit, language_id, license_scan, merkle, mixing, quality_rules, simhash, suffix_dedup, token_output, vector_packing, warc
 from lexloom.llm.common import SQL_WORD, numbered, table, word_count
 from lexloom.plans import scale
 
@@ -346,3 +346,52 @@ FROM leaf JOIN subroots s ON leaf.lang IS NOT DISTINCT FROM s.lang JOIN ends USI
 def op12_merkle_manifest(spark, sf_dir):
     leaves = merkle.document_leaves(table(spark, sf_dir, "documents"), merkle.tampered(F.col("doc_id")))
     return merkle.prove(merkle.manifest(leaves, carry=["changed"]), changed="changed")
+
+
+# --- 13: license scans -----------------------------------------------------------------------
+
+_LICENSE_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _sql_template(markup: str) -> str:
+    """A template as a regular expression over words that are each followed by a blank."""
+    out = []
+    for found in license_scan._TOKEN.finditer(markup):
+        kind, least, most, plain = found.groups()
+        if plain:
+            out.extend(f"{w} " for w in plain.lower().split())
+        else:
+            out.append({"optional": "(?:", "end": ")?"}.get(kind) or f"(?:[^ ]+ ){{{least},{most}}}")
+    return " " + "".join(out)
+
+
+def _sql_places(phrase: str) -> str:
+    first, *rest = phrase.split()
+    same = " AND ".join([f"w[i] = '{first}'", *(f"w[i + {k}] = '{v}'" for k, v in enumerate(rest, 1))])
+    return f"list_filter(range(1, len(w) + 1), lambda i: {same})"
+
+
+_BASE_SQL = ", ".join(f"CASE WHEN len({_sql_places(p)}) > 0 THEN '{label}' END" for p, label in license_scan.PHRASES.items())
+_OWN_SQL = ", ".join(
+    f"CASE WHEN {' OR '.join(f"regexp_matches(flat, '{_sql_template(t)}')" for t in texts)} THEN '{label}' END"
+    for label, texts in license_scan.TEMPLATES.items()
+)
+
+
+@register(
+    "op13_license_scan",
+    f"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all({_AZ}, '{_LICENSE_WORD}') AS w FROM documents),
+found AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, {" || ".join(_sql_places(p) for p in license_scan.PHRASES)} AS starts,
+    ' ' || array_to_string(w, ' ') || ' ' AS flat, list_filter([{_BASE_SQL}], lambda v: v IS NOT NULL) AS base FROM words),
+named AS (SELECT *, list_filter([{_OWN_SQL}], lambda v: v IS NOT NULL) AS own FROM found)
+SELECT doc_id, n_words, len(starts)::BIGINT AS n_base, list_min(starts) - 1 AS first_word, list_max(starts) - 1 AS last_word,
+  array_to_string(list_sort(base), ',') AS base_labels, array_to_string(list_sort(list_distinct(base || own)), ',') AS labels,
+  CASE WHEN len(own) > 0 THEN len(own)::DOUBLE / len(list_distinct(base || own)) ELSE 0 END::DOUBLE AS score
+FROM named
+""",
+)
+def op13_license_scan(spark, sf_dir):
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("passages")
