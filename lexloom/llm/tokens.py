@@ -1,10 +1,11 @@
 """Token ids of whole texts inside Spark tasks, by a public tokenizer file given as a path.
 
 A BPE file with word ends and the usual word pattern drops white space and lower-cases, so the ids of a
-text are those of its words one after another. For such a file each distinct word is encoded once per
-worker and looked up afterwards. The words still to encode are given to the model joined by spaces and
-told apart by the word ends. Words beyond printable ASCII, words with the string of a special token, and
-files of any other layout go through the tokenizer as they are. Results are the tokenizer's own ids.
+text are those of its parts (letters, digits, signs) one after another. For such a file each distinct part is encoded
+once per worker and looked up afterwards. The parts still to encode are given to the model joined by spaces and
+told apart by the word ends. Words with characters beyond printable ASCII and the Latin letters and signs below, words
+with the string of a special token, and files of any other layout go through the tokenizer as they are. Results
+are the tokenizer's own ids.
 """
 
 from __future__ import annotations
@@ -23,13 +24,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Fixed value: the word pattern of the layout described above, and the same for lower-case ASCII words.
+# Fixed value: the word pattern of the layout described above.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+"
+# Characters whose class, small letter and normal form are the same by every version of Unicode, and the word pattern over them.
+LETTERS = "a-zß-öø-ÿœ"
+SAFE = "!-~À-ÖØ-öø-ÿŒœ«»¡¿‘’“”–—…"
+UNSAFE_TEXT = re.compile(rf"[^ \t-\r{SAFE}]|<\|")
+SAFE_PATTERN = re.compile(rf"[{LETTERS}]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^ \t-\r{LETTERS}0-9]+")
+BLANKS = re.compile(r"[ \t-\r]+")
 WORD_END = "</w>"
-# Words a worker remembers; beyond it forgets all and starts again.
+# Parts a worker remembers; beyond it forgets all and starts again.
 REMEMBERED = 1_000_000
 LONGEST_REMEMBERED = 64
+SLICE_CHARS = 1 << 20  # characters of texts whose parts are held at a time
 
 
 def default_path() -> str:
@@ -51,15 +58,14 @@ class Encoder:
         described = json.loads(self.whole.to_str())
         self.by_word = self._drops_space(described)
         if self.by_word:
-            described |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "WhitespaceSplit"}}
+            rest = described["pre_tokenizer"]["pretokenizers"][1:]
+            pre = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *rest]}
+            described |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": pre}
             self.words_only = Tokenizer.from_str(json.dumps(described))
             self.ends = np.zeros(size + 1, bool)
             for token, i in self.words_only.get_vocab().items():
                 self.ends[i] = token.endswith(WORD_END)
-            self.known: dict[bytes, bytes] = {}
-            self.parts: dict[str, bytes] = {}
-            self.split = re.compile(ASCII_PATTERN)
-            self.special = b"<|"
+            self.known: dict[str, bytes] = {}
 
     @staticmethod
     def _drops_space(described: dict) -> bool:
@@ -75,28 +81,49 @@ class Encoder:
             and all(t["content"].startswith("<|") for t in described["added_tokens"])
         )
 
-    def _learn(self, missing: list[bytes]) -> dict[bytes, bytes]:
-        plain, odd = {}, []
-        for word in missing:
-            if word.isascii() and self.special not in word and (text := word.decode()).isprintable():
-                plain[word] = self.split.findall(text.lower())
-            else:
-                odd.append(word)
-        new = list({p for parts in plain.values() for p in parts if p not in self.parts})
+    def _learn(self, missing: list[str]) -> dict[str, bytes]:
+        """Ids of parts, and of words that are unsafe and so never equal a part."""
+        new, odd = [], []
+        for part in missing:
+            (odd if UNSAFE_TEXT.search(part) else new).append(part)
+        found = {}
         if new:
             ids = np.array(self.words_only.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, self.dtype)
             cuts = (np.flatnonzero(self.ends[ids]) + 1) * self.dtype.itemsize
             if len(cuts) != len(new):
                 raise ValueError("the model's word ends do not match its words")
             raw, bounds = ids.tobytes(), [0, *cuts.tolist()]
-            self.parts.update(zip(new, (raw[a:b] for a, b in zip(bounds, bounds[1:], strict=False)), strict=True))
-        found = {w: b"".join(map(self.parts.__getitem__, p)) for w, p in plain.items()}
-        for word, e in zip(odd, self.whole.encode_batch_fast([w.decode() for w in odd], add_special_tokens=False), strict=True):
+            found.update(zip(new, (raw[a:b] for a, b in zip(bounds, bounds[1:], strict=False)), strict=True))
+        for word, e in zip(odd, self.whole.encode_batch_fast(odd, add_special_tokens=False), strict=True):
             found[word] = np.array(e.ids, self.dtype).tobytes()
-        if len(self.parts) > REMEMBERED:
-            self.parts = {}
         return found
 
+    @staticmethod
+    def _parts(text: str) -> list[str]:
+        if not UNSAFE_TEXT.search(text):
+            return SAFE_PATTERN.findall(text.lower())
+        out = []
+        for word in BLANKS.split(text):
+            if UNSAFE_TEXT.search(word):
+                out.append(word)
+            else:
+                out += SAFE_PATTERN.findall(word.lower())
+        return out
+
+    def _encode_parts(self, texts: list[str]) -> list[bytes]:
+        parts = [self._parts(t) for t in texts]
+        if len(self.known) > REMEMBERED:
+            self.known = {}
+        known = self.known
+        missing = [p for p in set().union(*parts) if p not in known]
+        found = self._learn(missing) if missing else {}
+        long = {p: i for p, i in found.items() if len(p) > LONGEST_REMEMBERED}
+        known.update(found)
+        out = [b"".join(map(known.__getitem__, p)) for p in parts]
+        for p in long:
+            del known[p]
+        return out
+
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of every text as bytes of ``dtype``; none for a null text."""
         if not self.by_word:
@@ -104,17 +131,28 @@ class Encoder:
                 ids = self.whole.encode_batch_fast([text or ""], add_special_tokens=False)[0].ids
                 yield np.array(ids, self.dtype).tobytes()
             return
-        # bytes.split cuts at ASCII space only, where no token of this layout can reach across.
-        words = [(text or "").encode().split() for text in texts]
-        every = set().union(*words)
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        known = self.known
-        found = self._learn([w for w in every if w not in known])
-        long = {w: i for w, i in found.items() if len(w) > LONGEST_REMEMBERED}
-        known.update((w, i) for w, i in found.items() if w not in long)
-        for text in words:
-            yield b"".join([known[w] if w in known else long[w] for w in text] if long else map(known.__getitem__, text))
+        held, size = [], 0
+        for text in texts:
+            text = text or ""
+            if held and size + len(text) > SLICE_CHARS:
+                yield from self._encode_parts(held)
+                held, size = [], 0
+            if len(text) > SLICE_CHARS:
+                yield b"".join(raw for piece in _cut(text) for raw in self._encode_parts([piece]))
+            else:
+                held.append(text)
+                size += len(text)
+        yield from self._encode_parts(held)
+
+
+def _cut(text: str) -> Iterator[str]:
+    """A long text in slices that end at an ASCII blank, across which no token of the layout reaches."""
+    at = 0
+    while at < len(text):
+        blank = BLANKS.search(text, min(at + SLICE_CHARS, len(text)))
+        end = blank.start() if blank else len(text)
+        yield text[at:end]
+        at = blank.end() if blank else end
 
 
 def encoder(path: str) -> Encoder:

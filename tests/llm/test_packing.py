@@ -6,11 +6,11 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lexloom.llm import token_output, tokens, vector_packing
+from lexloom.llm import queries, token_output, tokens, vector_packing
 from lexloom.plans import scale
 
 PATH = tokens.default_path()
-PARTS = ["The ", "don't", "WE'LL", "12a", "\n", " ", " ", "\x1c", "\x00", "É", "é", " ́", "ß", "İ", "ΑΣ", "<|endoftext|>", "<|", "!!", "日本", "x" * 90, "'s", "a'Re", "ſ", " ", "K"]
+PARTS = ["Œuvre", "l’Été", "«ÀÿÞ»", "¿Qué?…", "×", "ÿ÷", "The ", "don't", "WE'LL", "12a", "\n", " ", " ", "\x1c", "\x00", "É", "é", " ́", "ß", "İ", "ΑΣ", "<|endoftext|>", "<|", "!!", "日本", "x" * 90, "'s", "a'Re", "ſ", " ", "K"]
 
 
 def reference(texts):
@@ -57,17 +57,35 @@ def test_a_piece_that_fits_nowhere_is_an_error():
         vector_packing.best_fit(np.array([11]), np.array([10, 10, 100.0]), (1, 1, 1), "norm")
 
 
-@pytest.fixture(scope="module")
-def expected(odd_docs):
-    texts = [r.text for r in odd_docs.collect()]
-    keys = [r.doc_id for r in odd_docs.collect()]
-    want = []
-    for k, ids in zip(keys, reference(texts), strict=True):
+def brute_pieces(docs):
+    rows, want = docs.select("doc_id", "text").collect(), []
+    for k, ids in zip([r.doc_id for r in rows], reference([r.text for r in rows]), strict=True):
         ids = np.array([*ids, 0])
         want += [(k, n, s, len(ids[s : s + 2048]), tokens.crc32(ids[s : s + 2048])) for n, s in enumerate(range(0, len(ids), 2048))]
     return sorted(want, key=str)
 
 
+@pytest.fixture(scope="module")
+def expected(odd_docs):
+    return brute_pieces(odd_docs)
+
+
+def test_queries_agree_with_the_tokenizer_over_all_documents(spark):
+    sf = "/root/testdata/sf0.001"
+    want = brute_pieces(spark.read.parquet(f"{sf}/documents.parquet"))
+    for name, place in (("op4_token_output", ["bundle", "sequence"]), ("op10_vector_packing", ["sequence_id"])):
+        rows = queries.QUERIES[name](spark, sf).collect()
+        assert sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows), key=str) == want
+        check_places(rows, place)
+
+
+def test_long_texts_are_cut_between_words(monkeypatch):
+    monkeypatch.setattr(tokens, "SLICE_CHARS", 7)
+    texts = ["one two three four", "x" * 40, "a b", "é " * 30 + "日本 語", None, " \n ", "don't can't"]
+    made = tokens.Encoder(PATH)
+    assert [np.frombuffer(raw, made.dtype).tolist() for raw in made.encode(texts)] == reference(texts)
+
+
 def check_places(rows, name):
     by = defaultdict(list)
     for r in rows:
