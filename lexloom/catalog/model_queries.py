@@ -293,7 +293,7 @@ def posterior_gradient(spark, sf_dir):
 
 @register("posterior_gradient_joined", with_(sql.MODEL, _CBOW_GRAD, select=_GRAD_ROWS))
 def posterior_gradient_joined(spark, sf_dir):
-    return long_vectors(_gradient(spark, sf_dir, "cbow", "join")[1], ["ix"], "grad")
+    return long_vectors(_gradient(spark, sf_dir, "cbow", "blocks")[1], ["ix"], "grad")
 
 
 @register("posterior_gradient_sgns", with_(SGNS_MODEL, _SGNS_GRAD, select=_GRAD_ROWS))

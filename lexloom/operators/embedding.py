@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import hashing, vectors
 from lexloom.operators import graph
+from lexloom.operators.priors import GaussianPrior, LaplacianPrior, Prior
 from lexloom.operators.text import label_name
 from lexloom.plans import scale
 
@@ -35,6 +36,16 @@ class EmbeddingModel:
     shared: bool = True
     edges: DataFrame | None = None
     lambda1: float | None = None
+    prior: Prior | None = None
+
+    @property
+    def active_prior(self) -> Prior:
+        """The prior given, or the Gaussian or graph prior that the model's settings describe."""
+        if self.prior is not None:
+            return self.prior
+        if self.edges is None:
+            return GaussianPrior(self.lambda0)
+        return LaplacianPrior(self.lambda0, self.lambda1, self.edges)
 
     def with_theta(self, theta: DataFrame) -> "EmbeddingModel":
         other = replace(self, theta=theta)
@@ -129,13 +140,18 @@ def new_embedding(
     seed: int = 0,
     edges: DataFrame | None = None,
     lambda1: float = 1.0,
+    prior: Prior | None = None,
 ) -> EmbeddingModel:
-    """A fresh model; with ``edges(key1, key2[, weight])`` it has a graph prior."""
+    """A fresh model; with ``edges(key1, key2[, weight])`` it has a graph prior, with ``prior`` one of your own.
+
+    Edges may also name their ends by ``word1, label1, role1`` and ``word2, label2, role2``. A prior of your own is
+    kept by the model but not saved with it.
+    """
     build = build_keys_shared if shared_context_vectors else build_keys_unshared
     keys = scale.materialise(build(vocab), "keys")
     # Hashing dim numbers per key is real work; a small key table would be read by one task.
     theta = scale.materialise(init_vectors(scale.spread_small(keys, ["ix"]), dim, seed), "theta")
-    model = EmbeddingModel(keys, theta, dim, lambda0, shared_context_vectors)
+    model = EmbeddingModel(keys, theta, dim, lambda0, shared_context_vectors, prior=prior)
     if edges is None:
         return model
     kept, _ = graph.filter_edges(edges, keys)
@@ -219,7 +235,3 @@ def embedding_shape(model: EmbeddingModel) -> DataFrame:
     """One row: vectors, their length, and the number of keys that name them."""
     rows = model.theta.agg(F.count(F.lit(1)).alias("n_rows"), F.max(F.size("vec")).alias("dim"))
     return rows.crossJoin(model.names.agg(F.count(F.lit(1)).alias("n_keys")))  # one row each
-
-
-def squared_norm_total(theta: DataFrame) -> DataFrame:
-    return theta.agg(F.coalesce(F.sum(vectors.squared_norm(F.col("vec"))), F.lit(0.0)).alias("total"))

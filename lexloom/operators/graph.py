@@ -12,19 +12,23 @@ from lexloom.plans import scale
 def filter_edges(edges: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges with both ends in the vocabulary, as row indices, and the ends that are not.
 
-    ``edges`` has ``key1, key2`` and optionally ``weight`` (default 1). The graph is undirected:
-    repeats and reversed repeats of an edge collapse into one.
+    ``edges`` has ``key1, key2``, or ``word1, label1, role1`` and ``word2, label2, role2``, which always name one row each, and
+    optionally ``weight`` (default 1). The graph is undirected: repeats and reversed repeats of an edge collapse into one.
     """
     if "weight" not in edges.columns:
         edges = edges.withColumn("weight", F.lit(1.0))
     from lexloom.operators.embedding import check_unambiguous, names_of
 
-    names = scale.materialise(names_of(keys), "names")
-    for end in ("key1", "key2"):
-        check_unambiguous(edges, names, end)
-    first = names.select(F.col("key").alias("key1"), F.col("ix").alias("_a"))
-    second = names.select(F.col("key").alias("key2"), F.col("ix").alias("_b"))
-    both = scale.lookup_join(scale.lookup_join(edges, first, ["key1"]), second, ["key2"])
+    if "key1" in edges.columns:
+        on, names = ["key"], scale.materialise(names_of(keys), "names")
+        for end in ("key1", "key2"):
+            check_unambiguous(edges, names, end)
+    else:
+        on, names = ["word", "label", "role"], keys
+    both = edges
+    for end, out in (("1", "_a"), ("2", "_b")):
+        found = names.select(*[F.col(c).alias(c + end) for c in on], F.col("ix").alias(out))
+        both = scale.lookup_join(both, found, [c + end for c in on])
     kept = (
         both.select(
             F.least("_a", "_b").alias("src"), F.greatest("_a", "_b").alias("dst"), "weight"
@@ -32,8 +36,8 @@ def filter_edges(edges: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFram
         .groupBy("src", "dst")
         .agg(F.max("weight").alias("weight"))
     )
-    ends = edges.select(F.explode(F.array("key1", "key2")).alias("key")).distinct()
-    omitted = ends.join(names, on="key", how="left_anti")
+    ends = [F.struct(*[F.col(c + end).alias(c) for c in on]) for end in ("1", "2")]
+    omitted = edges.select(F.inline(F.array(*ends))).distinct().join(names, on=on, how="left_anti")
     return kept, omitted
 
 

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexloom.operators import embedding, gradient, holdout, likelihood, optimise, text, windows
+from lexloom.operators import embedding, gradient, graph, holdout, kernel, likelihood, optimise, priors, text, windows
 from lexloom.plans import map_fit, scale, training, vi_fit
 from lexloom.streaming import partial_fit
 
@@ -36,7 +36,7 @@ def array_of(df, column):
 @pytest.mark.parametrize("kind", ["cbow", "sgns"])
 def test_gradient_plans_agree_with_finite_differences(spark, model, bags, kind):
     wide = model.with_theta(scale.materialise(model.theta.select("ix", F.transform("vec", lambda x: x * 8).alias("vec"))))
-    one, two = (array_of(gradient.posterior_gradient(wide, bags, kind, 0.7, p), "grad") for p in ("broadcast", "join"))
+    one, two = (array_of(gradient.posterior_gradient(wide, bags, kind, 0.7, p), "grad") for p in ("broadcast", "blocks"))
     assert np.allclose(one, two, atol=1e-9)
     data = [(r["targets"], r["x"], r["ctx"]) for r in bags.collect()]
 
@@ -72,6 +72,80 @@ def test_graph_prior_gradient(spark, model):
     assert np.allclose(got[ix["fish"]], -0.5 * v["fish"])
 
 
+def test_edges_by_word_label_and_role(spark):
+    vocab = spark.createDataFrame([("vitamin", ""), ("vitamin_c", ""), ("b", "x")], "word string, label string")
+    named = "word1 string, label1 string, role1 string, word2 string, label2 string, role2 string, weight double"
+    edges = spark.createDataFrame([("vitamin_c", "", "w", "vitamin", "", "c", 2.0), ("b", "x", "w", "b", "y", "w", 1.0)], named)
+    held = embedding.new_embedding(vocab, 3, edges=edges)
+    ix = {(r["word"], r["label"], r["role"]): r["ix"] for r in held.keys.collect()}
+    ends = sorted([ix["vitamin_c", "", "w"], ix["vitamin", "", "c"]])
+    assert [tuple(r) for r in held.edges.collect()] == [(*ends, 2.0)]
+    assert [tuple(r) for r in graph.filter_edges(edges, held.keys)[1].collect()] == [("b", "y", "w")]
+
+
+class QuarticPrior:
+    """Not one of the library's: the negative sum of the fourth powers."""
+
+    def log_prob(self, theta, dim):
+        return theta.agg((-F.sum(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x * x * x))).alias("log_prob"))
+
+    def gradient(self, theta, dim):
+        return theta.select("ix", F.transform("vec", lambda x: -4 * x * x * x).alias("vec"))
+
+
+def test_a_prior_of_ones_own(spark, text_corpus, bags):
+    own = embedding.new_embedding(text_corpus.select("word", "label").distinct(), 6, seed=4, prior=QuarticPrior())
+    assert isinstance(own.active_prior, priors.Prior)
+    theta = array_of(own.theta, "vec")
+    assert np.isclose(likelihood.log_prior(own, 1, 4).first()[0], -0.25 * (theta**4).sum())
+    grad = array_of(gradient.posterior_gradient(own, bags.limit(0), "cbow", 0.25), "grad")
+    assert np.allclose(grad, -(theta**3))
+    fit = map_fit.map_estimate(own, text_corpus, ws=WS, ns=NS, batch_size=SIZE, epochs=1)
+    vi = vi_fit.mean_field_vi(own, text_corpus, ws=WS, ns=NS, batch_size=SIZE, epochs=1)
+    assert fit.model.prior is own.prior and vi_fit.elbo_history(vi).count() == 1
+
+
+@pytest.mark.parametrize("kind", ["cbow", "sgns"])
+def test_blocks_give_what_the_broadcast_gives(spark, monkeypatch, model, text_corpus, bags, kind):
+    wide = model.with_theta(scale.materialise(model.theta.select("ix", F.transform("vec", lambda x: x * 8).alias("vec"))))
+
+    def everything():
+        each = holdout.holdout_per_example(wide, text_corpus, kind, WS, NS)
+        fit = map_fit.map_estimate(wide, text_corpus, kind=kind, ws=WS, ns=NS, batch_size=300, epochs=1)
+        return [
+            array_of(gradient.posterior_gradient(wide, bags, kind, 0.7), "grad"),
+            np.array(sorted(r["value"] for r in each.collect())),
+            np.array(holdout.holdout_accuracy(wide, text_corpus, kind, WS, NS).first()),
+            np.array(holdout.holdout_likelihood(wide, text_corpus, kind, WS, NS).first()),
+            array_of(fit.model.theta, "vec"),
+        ]
+
+    one = everything()
+    monkeypatch.setattr(kernel, "THETA_BYTES", 0)
+    monkeypatch.setattr(kernel, "BLOCK_BYTES", 8 * 6 * 50)  # a few bags
+    blocks = kernel.in_blocks(bags, 6)
+    sizes = blocks.groupBy("_block").agg(F.sum(F.size("targets") + F.size("ctx")).alias("n")).collect()
+    assert len(sizes) > 50 and max(r["n"] for r in sizes) < 50 + 2 * WS + 1 + NS
+    for a, b in zip(one, everything(), strict=True):
+        assert a.shape == b.shape and np.allclose(a, b, atol=1e-9)
+    plan = gradient.likelihood_gradient(wide, bags, kind)._jdf.queryExecution().toString()
+    assert "CoGroup" in plan and "BroadcastHashJoin [i#" not in plan
+
+
+def test_bags_of_odd_shapes(spark, model):
+    rows = [(0, [1, 2], [1.0, 0.0], []), (1, [3], [1.0], [2, 2, 5]), (2, [], [], [1])]
+    odd = spark.createDataFrame(rows, "bag_id bigint, targets array<bigint>, x array<double>, ctx array<bigint>")
+    theta = array_of(model.theta, "vec")
+    for plan in kernel.PLANS:
+        got = {r["bag_id"]: r["z"] for r in kernel.with_logits(odd, model.theta, 6, "cbow", plan).collect()}
+        assert got[0] == [0.0, 0.0] and got[2] == [] and np.isclose(got[1][0], theta[3] @ (2 * theta[2] + theta[5]))
+        none = kernel.totals(odd.limit(0), model.theta, 6, "sgns", plan).first()
+        assert none["n"] == 0
+    unknown = spark.createDataFrame([(0, [999], [1.0], [1])], odd.schema)
+    with pytest.raises(Exception, match="does not have|out of bounds"):
+        kernel.with_logits(unknown, model.theta, 6, "cbow", "blocks").collect()
+
+
 def test_adam_second_step(spark):
     state = spark.createDataFrame([(0, [1.0], [0.1], [0.2])], "ix bigint, vec array<double>, m array<double>, v array<double>")
     grad = spark.createDataFrame([(0, [0.5])], "ix bigint, grad array<double>")
