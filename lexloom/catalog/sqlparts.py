@@ -75,12 +75,19 @@ reach AS MATERIALIZED (
 # ``centres(pos, k, i, x)``: the centre of each window (k = 0) and its NS negatives.
 
 
+def unigrams(pool: str = "corpus") -> str:
+    """``unigrams(word, low)``: the words of a pool and how many of its tokens come before them in word order."""
+    return f"""unigrams AS MATERIALIZED (
+  SELECT word, (sum(n) OVER (ORDER BY word) - n)::BIGINT AS low FROM (SELECT word, count(*) AS n FROM {pool} GROUP BY word))"""
+
+
 def negatives(pool: str = "corpus", size: str = "size") -> str:
-    return f"""draws AS MATERIALIZED (
+    return f"""{unigrams(pool)},
+draws AS MATERIALIZED (
   SELECT pos, k, floor({uniform('negative', 'pos', 'k')} * size)::BIGINT AS drawn
   FROM corpus, (SELECT unnest(range(1, {NS + 1})) AS k), {size}),
 negatives AS MATERIALIZED (
-  SELECT draws.pos, k, drawn, b.word FROM draws JOIN {pool} b ON b.pos = drawn)"""
+  SELECT draws.pos, k, drawn, u.word FROM draws ASOF JOIN unigrams u ON drawn >= u.low)"""
 
 
 CENTRES = f"""{negatives()},

@@ -25,7 +25,7 @@ def _epoch(e: int) -> str:
   SELECT pos, k, floor({draw} * size)::BIGINT AS drawn FROM corpus, (SELECT unnest(range(1, {NS + 1})) AS k), size),
 centres_{e} AS MATERIALIZED (
   SELECT pos, 0 AS k, word AS i, 1.0::DOUBLE AS x FROM corpus
-  UNION ALL SELECT d.pos, k, b.word, 0.0::DOUBLE FROM draws_{e} d JOIN corpus b ON b.pos = drawn),
+  UNION ALL SELECT d.pos, k, u.word, 0.0::DOUBLE FROM draws_{e} d ASOF JOIN unigrams u ON drawn >= u.low),
 turns_{e} AS (
   SELECT batch_id, row_number() OVER (ORDER BY {sql.uniform('batch', f"'{e}'", 'batch_id')}, batch_id) - 1 AS turn
   FROM (SELECT unnest(range({TURNS})) AS batch_id))"""
@@ -77,7 +77,7 @@ loss_{s} AS MATERIALIZED (
 def fit(kind: str, dim: int, epochs: int, adam: Adam = Adam()) -> tuple[str, str]:
     """Common table expressions of the whole fit, and the name of the last state; ``losses`` has a row per step."""
     zero = f"list_resize([0.0::DOUBLE], {dim}, 0.0::DOUBLE)"
-    parts = [sql.CORPUS, sql.REACH, sql.KEYS, sql.theta(dim)]
+    parts = [sql.CORPUS, sql.REACH, sql.unigrams(), sql.KEYS, sql.theta(dim)]
     parts.append("halves AS (SELECT size, (size + 1) // 2 AS half FROM size)")
     parts.append(f"state_0 AS MATERIALIZED (SELECT ix, vec, {zero} AS m, {zero} AS v FROM theta)")
     step = 0

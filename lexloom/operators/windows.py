@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,6 +15,8 @@ from lexloom.plans import scale
 
 MODELS = ("cbow", "sgns")
 BLOCK = 4096
+POOL_BYTES = 128 * 1024 * 1024  # largest table of values that every task receives to draw negatives
+RANGE_DRAWS = 1_000_000  # draws of a range, beyond that table
 
 
 def check_model(model: str) -> None:
@@ -87,26 +93,84 @@ def _tiny_windows(rows, ws, size, value, keep):
     return rows.join(F.broadcast(ctx), "pos").select("pos", *keep, "ctx")
 
 
+def unigram_table(pool: DataFrame, value: str) -> DataFrame:
+    """``(value, n, _low)``: each value of the pool, how often it occurs, and how many tokens come before it in the order of
+    values; stored."""
+    counts = pool.groupBy(F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    summed = scale.running_total(counts, ["value"], "n", "_high")
+    return scale.materialise(summed.select("value", "n", (F.col("_high") - F.col("n")).alias("_low")), "unigrams")
+
+
+def with_negatives(
+    rows: DataFrame, pool: DataFrame, pool_size: int, ns: int, seed: int, value: str, limit: int | None = None
+) -> DataFrame:
+    """Add ``_drawn``, ``ns`` places among the pool's tokens per ``pos``, and ``_negatives``, the values there.
+
+    Tokens are drawn uniformly, so values by their counts. A place is looked up in the running counts of the values
+    in their order, by binary search inside the task that holds the row: nothing is shuffled. Values
+    beyond ``limit`` bytes are looked up by a merge of ranges of places instead.
+    """
+    table = unigram_table(pool, value)
+    numbers = F.sequence(F.lit(1), F.lit(ns))
+    drawn = F.transform(numbers, lambda k: hashing.draw_index(pool_size, seed, "negative", F.col("pos"), k))
+    rows = rows.withColumn("_drawn", drawn)
+    limit = min(POOL_BYTES, scale.BROADCAST_BYTES) if limit is None else limit
+    return (_searched if scale.fits_broadcast(table, limit=limit) else _merged)(rows, table)
+
+
+def _searched(rows: DataFrame, table: DataFrame) -> DataFrame:
+    found = table.orderBy("_low").select("value", "_low").toArrow().combine_chunks()
+    values = found.column("value").combine_chunks()
+    shared = rows.sparkSession.sparkContext.broadcast((found.column("_low").to_numpy(), values))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lows, values = shared.value
+        for batch in batches:
+            drawn = batch.column(batch.schema.get_field_index("_drawn"))
+            ends = np.asarray(drawn.offsets)
+            at = np.searchsorted(lows, np.asarray(drawn.flatten()), side="right") - 1
+            picked = pa.ListArray.from_arrays(pa.array(ends - ends[0], pa.int32()), values.take(pa.array(at)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, picked], names=[*batch.schema.names, "_negatives"])
+
+    kinds = [(f.name, f.dataType.simpleString()) for f in rows.schema.fields]
+    kinds.append(("_negatives", f"array<{table.schema['value'].dataType.simpleString()}>"))
+    return rows.mapInArrow(search, ", ".join(f"`{n}` {k}" for n, k in kinds))
+
+
+def _merged(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """Draws and values meet by range of places. Draws are spread evenly, so no range is hot; a value is copied to every
+    range it reaches into, which adds at most one row per range."""
+    rows = scale.materialise(rows, "drawn")
+    total = table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ns = rows.agg(F.coalesce(F.sum(F.size("_drawn")), F.lit(0))).first()[0]
+    width = max(1, -(-total // max(parts, ns // RANGE_DRAWS)))
+    draws = rows.select("pos", F.posexplode("_drawn").alias("k", "drawn")).withColumn("range", F.expr(f"drawn div {width}"))
+    reach = F.sequence(F.expr(f"_low div {width}"), F.expr(f"(_low + n - 1) div {width}"))
+    values = table.select("value", "_low", F.explode(reach).alias("range"))
+
+    def merge(draws: pa.Table, values: pa.Table) -> pa.Table:
+        values = values.sort_by("_low")
+        at = np.searchsorted(values.column("_low").to_numpy(), draws.column("drawn").to_numpy(), side="right") - 1
+        picked = values.column("value").take(pa.array(at))
+        return pa.table({"pos": draws.column("pos"), "k": draws.column("k"), "value": picked})
+
+    kind = table.schema["value"].dataType.simpleString()
+    met = draws.groupBy("range").cogroup(values.groupBy("range")).applyInArrow(merge, f"pos bigint, k int, value {kind}")
+    lists = met.groupBy("pos").agg(F.array_sort(F.collect_list(F.struct("k", "value"))).getField("value").alias("_negatives"))
+    return rows.join(lists, "pos", "left").withColumn("_negatives", F.coalesce("_negatives", F.array().cast(f"array<{kind}>")))
+
+
 def negative_samples(
-    positions: DataFrame,
-    pool: DataFrame,
-    pool_size: int,
-    ns: int,
-    seed: int = 0,
-    carry: list[str] | None = None,
+    positions: DataFrame, pool: DataFrame, pool_size: int, ns: int, seed: int = 0, value: str = "word", limit: int | None = None
 ) -> DataFrame:
-    """``ns`` tokens per position, drawn uniformly over the pool's positions.
+    """``(pos, k, drawn, <value>)``: ``ns`` tokens per position, drawn uniformly from the pool.
 
-    ``pool`` is the corpus itself or another corpus. The draws are spread evenly over the
-    pool, so the equi-join on the drawn position has no hot key.
+    ``pool`` is the corpus itself or another corpus; ``drawn`` is the place among its tokens in the order of their values.
     """
-    carry = ["word"] if carry is None else carry
-    draws = positions.select("pos", F.explode(F.sequence(F.lit(1), F.lit(ns))).alias("k")).withColumn(
-        "drawn", hashing.draw_index(pool_size, seed, "negative", F.col("pos"), F.col("k"))
-    )
-    return draws.join(pool.select(F.col("pos").alias("drawn"), *carry), on="drawn").select(
-        "pos", "k", "drawn", *carry
-    )
+    found = with_negatives(positions.select("pos"), pool, pool_size, ns, seed, value, limit)
+    both = F.arrays_zip(F.col("_drawn").alias("drawn"), F.col("_negatives").alias(value))
+    return found.select("pos", F.posexplode(both).alias("k", "d")).select("pos", (F.col("k") + 1).alias("k"), "d.*")
 
 
 def cbow_examples(
@@ -162,8 +226,7 @@ def example_bags(
 ) -> DataFrame:
     """One row per window: ``targets`` = its centre and the drawn ones, ``x`` = 1, 0, ..., 0.
 
-    The window is stored once for its 1 + ns examples, and only narrow rows are joined to
-    find the negatives. The last batch holds what is left, unless ``keep_tail`` is off. Negatives come from
+    The window is stored once for its 1 + ns examples; its negatives are found where it is. The last batch holds what is left, unless ``keep_tail`` is off. Negatives come from
     ``pool(pos, ..)``, whose size is counted unless given, or from the corpus itself.
     """
     windows = context_windows(corpus, ws, size, value=context, keep=[centre])
@@ -176,12 +239,8 @@ def example_bags(
             pool_size = corpus_size(pool)
         if pool_size < 1 and size > 0:
             raise ValueError("negatives cannot be drawn from an empty pool")
-        wanted = corpus.select("pos").where(_whole_batches(size, batch_size, keep_tail))
-        drawn = negative_samples(wanted, pool, pool_size, ns, seed, carry=[centre])
-        # The k-th draw of a position goes to the k-th column: fixed-width sums, no lists to sort.
-        numbered = [F.max(F.when(F.col("k") == k, F.col(centre))).alias(f"_t{k}") for k in range(1, ns + 1)]
-        windows = windows.join(drawn.groupBy("pos").agg(*numbered), on="pos")
-        targets = F.array(F.col(centre), *[F.col(f"_t{k}") for k in range(1, ns + 1)])
+        windows = with_negatives(windows, pool, pool_size, ns, seed, centre)
+        targets = F.concat(F.array(F.col(centre)), F.col("_negatives"))
     return windows.select(
         F.col("pos").alias("bag_id"),
         _batch(batch_size).alias("batch_id"),

@@ -44,6 +44,29 @@ def test_negatives_follow_the_pool(spark):
         windows.cbow_examples(corpus, 200, pool=pool.limit(0))
 
 
+@pytest.mark.parametrize("kind", ["string", "bigint"])
+def test_negatives_by_search_and_by_merge(spark, monkeypatch, kind):
+    corpus = corpus_of(spark, 300)
+    words = ["3"] * 150 + [str(v) for v in range(200, 250)] * 2 + ["7", "1"]
+    pool = spark.createDataFrame(list(enumerate(words)), "pos bigint, word string").withColumn("word", F.col("word").cast(kind))
+    ordered = sorted(words, key=int if kind == "bigint" else str)
+    got = [tuple(r) for r in windows.negative_samples(corpus, pool, len(words), 5, seed=3).collect()]
+    assert len(got) == 1500 and all(str(word) == ordered[drawn] for _, _, drawn, word in got)
+    assert {k for _, k, _, _ in got} == {1, 2, 3, 4, 5} and len({d for _, _, d, _ in got}) > 200
+    monkeypatch.setattr(windows, "RANGE_DRAWS", 100)
+    merged = windows.negative_samples(corpus, pool, len(words), 5, seed=3, limit=0).collect()
+    assert sorted(map(tuple, merged)) == sorted(got)
+
+
+def test_negatives_add_no_shuffle(spark):
+    corpus = corpus_of(spark, 300)
+
+    def shuffles(ns):
+        return windows.example_bags(corpus, 300, 2, ns, 100, centre="word", context="word")._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+    assert shuffles(5) == shuffles(0)
+
+
 def test_batches_are_shuffled_per_epoch(spark):
     corpus = corpus_of(spark, 105)
     orders = [
