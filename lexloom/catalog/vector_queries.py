@@ -177,6 +177,17 @@ def nearest_neighbors(spark, sf_dir):
     return found.select("target", F.col("rank").cast("bigint").alias("rank"), "word", r6(F.col("score")).alias("score"))
 
 
+@register(
+    "nearest_neighbors_joined",
+    with_(NAMED, _NEIGHBOURS, select=f"SELECT target, rank, word, {sql.r6('score')} AS score FROM best"),
+)
+def nearest_neighbors_joined(spark, sf_dir):
+    """The plan for queries that are too many to send to every task."""
+    rows = vector_rows(spark, sf_dir)
+    found = neighbours.nearest_neighbors(vector_model(rows), _asked(spark, sf_dir, rows), K, limit=1)
+    return found.select("target", F.col("rank").cast("bigint").alias("rank"), "word", r6(F.col("score")).alias("score"))
+
+
 _WIDE = ", ".join(f"max(word) FILTER (rank = {r}) AS \"@{r}\"" for r in range(1, K + 1))
 
 
@@ -190,33 +201,42 @@ def _chain(name: str, steps: int) -> str:
     return f"{name} LEFT JOIN named n{steps} ON n{steps}.vec_id = named.vec_id + {steps}"
 
 
-@register(
-    "evaluate_analogy",
-    with_(
-        NAMED,
-        """asked AS (SELECT a.vec_id AS row_id, a.key AS w1, b.key AS w2, c.key AS w3, d.key AS w4,
+_ANALOGY = with_(
+    NAMED,
+    """asked AS (SELECT a.vec_id AS row_id, a.key AS w1, b.key AS w2, c.key AS w3, d.key AS w4,
     list_transform(list_zip(a.vec, b.vec, c.vec), lambda p: p[1] - p[2] + p[3]) AS aim
   FROM named a JOIN named b ON b.vec_id = a.vec_id + 1 JOIN named c ON c.vec_id = a.vec_id + 2
   JOIN named d ON d.vec_id = a.vec_id + 3)""",
-        """scores AS (SELECT row_id, w1, w2, w3, w4, n.key AS word,
+    """scores AS (SELECT row_id, w1, w2, w3, w4, n.key AS word,
     round(list_dot_product(list_transform(aim, lambda e: e / sqrt(list_dot_product(aim, aim))), n.vec), 9) AS score
   FROM asked CROSS JOIN named n)""",
-        f"""best AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, word) AS rank
+    f"""best AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, word) AS rank
   FROM scores QUALIFY rank <= {K})""",
-        select="""SELECT row_id, w1, w2, w3, w4, string_agg(word, ' ' ORDER BY rank) AS guesses,
+    select="""SELECT row_id, w1, w2, w3, w4, string_agg(word, ' ' ORDER BY rank) AS guesses,
 bool_or(word = w4) AS correct FROM best GROUP BY ALL""",
-    ),
 )
-def evaluate_analogy(spark, sf_dir):
+
+
+def _analogies(spark, sf_dir, limit=None):
     rows = vector_rows(spark, sf_dir)
     asked = inputs.following(rows, 3).select(
         F.col("vec_id").alias("row_id"), F.col("key").alias("w1"), F.col("next1").alias("w2"),
         F.col("next2").alias("w3"), F.col("next3").alias("w4"),
     )
-    found = neighbours.evaluate_analogy(vector_model(rows), scale.materialise(asked, "asked"), K)
+    found = neighbours.evaluate_analogy(vector_model(rows), scale.materialise(asked, "asked"), K, limit=limit)
     return found.withColumn("guesses", F.concat_ws(" ", "guesses"))
 
 
+@register("evaluate_analogy", _ANALOGY)
+def evaluate_analogy(spark, sf_dir):
+    return _analogies(spark, sf_dir)
+
+
+@register("evaluate_analogy_joined", _ANALOGY)
+def evaluate_analogy_joined(spark, sf_dir):
+    return _analogies(spark, sf_dir, 1)
+
+
 def _bli(source: str, target: str) -> str:
     return with_(
         NAMED,
@@ -237,9 +257,9 @@ def _lexicon(rows):
     return scale.materialise(pairs, "lexicon")
 
 
-def _induced(spark, sf_dir, reverse):
+def _induced(spark, sf_dir, reverse, limit=None):
     rows = vector_rows(spark, sf_dir)
-    found = neighbours.bilingual_lexicon_induction(_lexicon(rows), vector_model(rows), reverse=reverse)
+    found = neighbours.bilingual_lexicon_induction(_lexicon(rows), vector_model(rows), reverse=reverse, limit=limit)
     return found.withColumn("guesses", F.concat_ws(" ", "guesses"))
 
 
@@ -248,6 +268,11 @@ def bilingual_lexicon_induction(spark, sf_dir):
     return _induced(spark, sf_dir, False)
 
 
+@register("bilingual_lexicon_induction_joined", _bli("a", "b"))
+def bilingual_lexicon_induction_joined(spark, sf_dir):
+    return _induced(spark, sf_dir, False, 1)
+
+
 @register("bli_reverse", _bli("b", "a"))
 def bli_reverse(spark, sf_dir):
     return _induced(spark, sf_dir, True)

@@ -1,15 +1,22 @@
 """Exact top-K scoring: nearest neighbours, analogies, bilingual lexicon induction.
 
-Candidates are scored in blocks against all queries at once and each task keeps only the K best
-per query, so the score matrix never exists. Ties are broken by the word.
+Candidates are scored in blocks and each task keeps only the K best per query, so the score matrix never
+exists. Ties are broken by the word.
+
+Up to ``QUERY_ROWS`` queries go to every task that scans candidates. More are joined with shelves: each candidate is
+dealt to one shelf of its group, and queries are copied to the shelves of their group. A task reads a shelf, then
+lets queries pass by in batches, so it holds one shelf however many queries there are. Where shelves as
+large as a task can hold would be fewer than the tasks, there are more of them, or they are read by several lanes of queries, whichever
+copies fewer rows. Inside a shelf candidates lie in clusters; a cluster is skipped for a query when
+its centre and radius prove that it has nothing above the K-th best so far.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -20,8 +27,9 @@ from lexloom.operators.embedding import WORD, EmbeddingModel
 from lexloom.plans import scale
 
 QUERY_ROWS = 4096  # most queries that every task receives
-_CELL = 4096  # rows per side of a cell when the queries are more than that
-_BLOCK = 1024  # candidates scored at once inside a task
+SHELF_BYTES = 64 * 1024 * 1024  # vectors of a shelf
+_CLUSTERS = 256  # of a shelf
+_BLOCK = 1024  # candidates or queries scored at once inside a task
 _OUT = "qid bigint, word string, score double"
 _DIGITS = 9  # scores equal to this many decimals are ties
 
@@ -33,7 +41,7 @@ def top_k(
 
     ``queries(qid, grp, vec)`` are compared with the ``candidates(word, grp, vec)`` of the same
     ``grp`` (a string; use '' for no grouping). Up to ``limit`` queries are sent to the tasks that
-    scan the candidates; more are compared cell by cell.
+    scan the candidates; more are joined with shelves of candidates.
     """
     limit = QUERY_ROWS if limit is None else limit
     queries = scale.materialise(queries.select("qid", "grp", "vec"), "queries")
@@ -41,100 +49,160 @@ def top_k(
     if queries.limit(limit + 1).count() <= limit:
         best = _scan(queries, candidates, k, dim)
     else:
-        best = _grid(queries, scale.materialise(candidates, "candidates"), k, dim)
+        best = _shelved(queries, scale.materialise(candidates, "candidates"), k, dim)
     by_query = W.partitionBy("qid").orderBy(F.desc("score"), "word")
     return best.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)
 
 
+class Best:
+    """The K best words of some queries so far."""
+
+    def __init__(self, queries: int, k: int):
+        self.score = np.full((queries, k), -np.inf)
+        self.word = np.full((queries, k), None, dtype=object)
+
+    def offer(self, rows: np.ndarray, scores: np.ndarray, words: np.ndarray) -> None:
+        """Scores of the queries ``rows`` (distinct) with ``words``."""
+        k = self.score.shape[1]
+        scores = np.round(scores, _DIGITS) + 0.0
+        floor = self.score[rows, -1]
+        if scores.shape[1] > k:
+            floor = np.maximum(floor, -np.partition(-scores, k - 1, axis=1)[:, k - 1])
+        # What is tied with the last one is kept for the word order.
+        at, column = np.nonzero(scores >= floor[:, None])
+        if not len(at):
+            return
+        touched, of = np.unique(at, return_inverse=True)
+        mine = rows[touched]
+        old, slot = np.nonzero(self.score[mine] > -np.inf)
+        row = np.concatenate([old, of])
+        score = np.concatenate([self.score[mine[old], slot], scores[at, column]])
+        word = np.concatenate([self.word[mine[old], slot], words[column]])
+        order = np.lexsort((np.unique(word, return_inverse=True)[1], -score, row))
+        row = row[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = place < k
+        self.score[mine[row[keep]], place[keep]] = score[order[keep]]
+        self.word[mine[row[keep]], place[keep]] = word[order[keep]]
+
+    def rows(self, qid: np.ndarray) -> pa.RecordBatch:
+        at, slot = np.nonzero(self.score > -np.inf)
+        columns = [pa.array(qid[at], pa.int64()), pa.array(self.word[at, slot], pa.string()), pa.array(self.score[at, slot])]
+        return pa.RecordBatch.from_arrays(columns, names=["qid", "word", "score"])
+
+
 def _matrix(column, dim: int) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     return np.asarray(column.flatten()).reshape(-1, dim)
 
 
+def _strings(column) -> np.ndarray:
+    return np.array(column.to_pylist(), dtype=object)
+
+
 def _scan(queries: DataFrame, candidates: DataFrame, k: int, dim: int) -> DataFrame:
     table = queries.toArrow()
     shared = queries.sparkSession.sparkContext.broadcast(
-        (
-            table.column("qid").to_numpy(),
-            np.array(table.column("grp").to_pylist(), dtype=object),
-            _matrix(table.column("vec"), dim),
-        )
+        (table.column("qid").to_numpy(), _strings(table.column("grp")), _matrix(table.column("vec"), dim))
     )
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qid, grp, matrix = shared.value
-        best = None
+        best = Best(len(qid), k)
         for batch in batches:
             for lo in range(0, batch.num_rows, _BLOCK):
                 part = batch.slice(lo, _BLOCK)
-                best = _block_best(best, qid, grp, matrix, *_candidate_arrays(part, dim), k)
-        if best is not None and len(best):
-            yield pa.RecordBatch.from_pandas(best, preserve_index=False)
+                words, groups, vecs = _strings(part.column("word")), _strings(part.column("grp")), _matrix(part.column("vec"), dim)
+                for g in set(groups):
+                    mine, theirs = np.flatnonzero(grp == g), np.flatnonzero(groups == g)
+                    if len(mine):
+                        best.offer(mine, matrix[mine] @ vecs[theirs].T, words[theirs])
+        yield best.rows(qid)
 
     return candidates.mapInArrow(run, _OUT)
 
 
-def _candidate_arrays(batch, dim):
-    return (
-        np.array(batch.column("word").to_pylist(), dtype=object),
-        np.array(batch.column("grp").to_pylist(), dtype=object),
-        _matrix(batch.column("vec"), dim),
-    )
+class Shelf:
+    """Candidates in clusters, each with its centre and the distance of its farthest member."""
+
+    def __init__(self, words: np.ndarray, vecs: np.ndarray):
+        pivots = vecs[:: max(1, -(-len(vecs) // min(_CLUSTERS, max(1, int(len(vecs) ** 0.5)))))]
+        far = (pivots**2).sum(axis=1)
+        nearest = np.concatenate([np.argmin(far - 2 * vecs[lo : lo + _BLOCK] @ pivots.T, axis=1) for lo in range(0, len(vecs), _BLOCK)])
+        order = np.argsort(nearest, kind="stable")
+        self.words, self.vecs = words[order], vecs[order]
+        starts = np.flatnonzero(np.r_[True, np.diff(nearest[order]) != 0])
+        ends = np.r_[starts[1:], len(order)]
+        self.parts = [slice(a, min(a + _BLOCK, e)) for s, e in zip(starts, ends) for a in range(s, e, _BLOCK)]
+        self.centres = np.stack([self.vecs[p].mean(axis=0) for p in self.parts])
+        self.radii = np.array([np.sqrt(((self.vecs[p] - c) ** 2).sum(axis=1).max()) for p, c in zip(self.parts, self.centres)])
+
+    def search(self, queries: np.ndarray, k: int) -> Best:
+        best = Best(len(queries), k)
+        # No member can be nearer than the centre and the radius allow; the last digit is given away for rounding.
+        bound = queries @ self.centres.T + np.sqrt((queries**2).sum(axis=1))[:, None] * self.radii + 10.0**-_DIGITS
+        bound += 1e-12 * np.abs(bound)
+        for j in np.argsort(-bound.mean(axis=0), kind="stable"):
+            rows = np.flatnonzero(bound[:, j] >= best.score[:, -1])
+            if len(rows):
+                best.offer(rows, queries[rows] @ self.vecs[self.parts[j]].T, self.words[self.parts[j]])
+        return best
 
 
-def _block_best(best, qid, grp, matrix, words, word_grp, vectors_, k):
-    """Merge a block of candidates into the running best per query."""
-    found = [] if best is None else [best]
-    for g in pd.unique(word_grp):
-        mine, theirs = np.flatnonzero(grp == g), np.flatnonzero(word_grp == g)
-        if not len(mine):
-            continue
-        scores = np.round(matrix[mine] @ vectors_[theirs].T, _DIGITS)
-        if scores.shape[1] > k:
-            # The k-th best score of each query; everything tied with it is kept for the word order.
-            floor = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
-        else:
-            floor = np.full((len(mine), 1), -np.inf)
-        row, col = np.nonzero(scores >= floor)
-        found.append(
-            pd.DataFrame(
-                {"qid": qid[mine[row]], "word": words[theirs[col]], "score": scores[row, col] + 0.0}
-            )
-        )
-    if not found:
-        return best
-    merged = pd.concat(found, ignore_index=True)
-    merged = merged.sort_values(["qid", "score", "word"], ascending=[True, False, True])
-    return merged[merged.groupby("qid").cumcount() < k]
-
-
-def _grid(queries: DataFrame, candidates: DataFrame, k: int, dim: int) -> DataFrame:
-    """Neither side fits in a task: both are cut in blocks, and each pair of blocks is one cell."""
-    rows, columns = (max(1, math.ceil(df.count() / _CELL)) for df in (queries, candidates))
-
-    def spread(df, key, own, n_own, other, n_other):
-        return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n_own))).withColumn(
-            other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1)))
-        ).withColumn(other, F.col(other).cast("bigint"))
-
-    left = spread(queries, "qid", "_a", rows, "_b", columns)
-    right = spread(candidates, "word", "_b", columns, "_a", rows)
-
-    def cell(_, q: pa.Table, c: pa.Table) -> pa.Table:
-        best = None
-        if q.num_rows and c.num_rows:
-            grp = np.array(q.column("grp").to_pylist(), dtype=object)
-            best = _block_best(
-                None, q.column("qid").to_numpy(), grp, _matrix(q.column("vec"), dim),
-                *_candidate_arrays(c, dim), k,
-            )
-        if best is None:
-            best = pd.DataFrame({"qid": np.empty(0, "int64"), "word": np.empty(0, object), "score": np.empty(0)})
-        schema = pa.schema([("qid", pa.int64()), ("word", pa.string()), ("score", pa.float64())])
-        return pa.Table.from_pandas(best, schema=schema, preserve_index=False)
-
-    return left.groupBy("_a", "_b").cogroup(right.groupBy("_a", "_b")).applyInArrow(cell, _OUT)
+def shape(candidates: int, queries: int, tasks: int, dim: int) -> tuple[int, int]:
+    """Shelves and lanes: no shelf above ``SHELF_BYTES``, about ``tasks`` pairs of both, and as few copied rows as that allows."""
+    least = max(1, -(-8 * dim * candidates // SHELF_BYTES))
+    balanced = math.ceil(math.sqrt(tasks * candidates / max(1, queries)))
+    shelves = max(least, min(tasks, balanced, max(1, candidates)))
+    return shelves, max(1, -(-tasks // shelves))
+
+
+def _shelved(queries: DataFrame, candidates: DataFrame, k: int, dim: int) -> DataFrame:
+    """Neither side fits in a task: candidates are dealt once, queries are copied to the shelves of their group."""
+    spark = queries.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    counts = scale.materialise(candidates.groupBy("grp").agg(F.count(F.lit(1)).alias("n")), "group-sizes")
+    total, asked = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], queries.count()
+    wanted, lanes = shape(total, asked, parts, dim)
+    shelves = F.ceil(F.col("n") * wanted / max(total, 1)).cast("int").alias("shelves")
+    shelves = scale.materialise(counts.select("grp", shelves), "shelves")
+    # Groups without candidates have no shelves, and their queries no answers.
+    dealt = scale.lookup_join(candidates, shelves, ["grp"]).select(
+        "grp", F.pmod(F.xxhash64("word"), F.col("shelves")).cast("int").alias("shelf"),
+        F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"),
+        F.lit(False).alias("asks"), F.lit(None).cast("bigint").alias("qid"), "word", "vec",
+    )
+    asking = scale.lookup_join(queries, shelves, ["grp"]).select(
+        "grp", F.explode(F.sequence(F.lit(0), F.col("shelves") - 1)).alias("shelf"),
+        F.pmod(F.xxhash64("qid"), F.lit(lanes)).cast("int").alias("lane"),
+        F.lit(True).alias("asks"), "qid", F.lit(None).cast("string").alias("word"), "vec",
+    )
+    place = ["grp", "shelf", "lane"]
+    met = dealt.unionByName(asking).repartition(4 * parts, *place).sortWithinPartitions(*place, "asks")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held, shelf = None, [], None
+        for batch in batches:
+            places = list(zip(*(batch.column(c).to_pylist() for c in ("grp", "shelf", "lane", "asks"))))
+            cuts = [0, *(i for i in range(1, len(places)) if places[i] != places[i - 1]), len(places)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if lo == hi:
+                    continue
+                part, (*place, asks) = batch.slice(lo, hi - lo), places[lo]
+                if place != here:
+                    here, held, shelf = place, [], None
+                if not asks:
+                    held.append((_strings(part.column("word")), _matrix(part.column("vec"), dim)))
+                    continue
+                if shelf is None and held:
+                    shelf, held = Shelf(*(np.concatenate(x) for x in zip(*held))), []
+                if shelf is not None:
+                    for at in range(0, part.num_rows, _BLOCK):
+                        some = part.slice(at, _BLOCK)
+                        yield shelf.search(_matrix(some.column("vec"), dim), k).rows(some.column("qid").to_numpy())
+
+    return met.mapInArrow(run, _OUT)
 
 
 def _wide(ranked: DataFrame, by: list[str], k: int, prefix: str, start: int = 1) -> DataFrame:

@@ -54,6 +54,36 @@ def test_neighbours_match_brute_force(spark, model, vectors, limit):
     assert wide.columns == ["target"] + [f"@{i}" for i in range(1, 8)] and wide.count() == len(asked)
 
 
+def test_shelves_skip_clusters_and_miss_nothing():
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(20, 8))
+    vecs = np.repeat(centres, 100, axis=0) + 0.01 * rng.normal(size=(2000, 8))
+    vecs[5:9] = vecs[4]  # ties
+    words = np.array([f"w{i}" for i in rng.permutation(2000)], dtype=object)
+    shelf = neighbours.Shelf(words, vecs)
+    assert sorted(shelf.words) == sorted(words)
+    for queries in (vecs[:50] + 0.01, rng.normal(size=(30, 8)), np.zeros((2, 8))):
+        best = shelf.search(queries, 6)
+        for q, scores, found in zip(queries, best.score, best.word):
+            assert list(found) == ranked(dict(zip(words, vecs @ q)), 6) and (np.diff(scores) <= 0).all()
+    offered = []
+    plain = neighbours.Best.offer
+    neighbours.Best.offer = lambda self, rows, scores, words: (offered.append(scores.size), plain(self, rows, scores, words))
+    try:
+        shelf.search(vecs[:50], 6)
+    finally:
+        neighbours.Best.offer = plain
+    assert sum(offered) < 0.3 * 50 * 2000
+
+
+def test_shelves_and_lanes_copy_little():
+    dim, least = 100, neighbours.SHELF_BYTES // 800
+    for candidates, queries, tasks in ((10**7, 10**7, 2000), (10**7, 5000, 2000), (500, 10**6, 8), (0, 9, 8), (10**9, 10**9, 100)):
+        shelves, lanes = neighbours.shape(candidates, queries, tasks, dim)
+        assert shelves * lanes >= tasks and candidates / shelves <= least + 1
+        assert shelves == -(-candidates // least) or candidates * lanes + queries * shelves <= 2.1 * max(1, (candidates * queries * tasks)) ** 0.5 + queries + candidates
+
+
 def test_more_neighbours_than_words(spark):
     rows = [(w, "", "w", [float(i), 1.0]) for i, w in enumerate("abc")]
     tiny = embedding.model_from_vectors(spark.createDataFrame(rows, "word string, label string, role string, vec array<double>"), 2)
