@@ -1,51 +1,91 @@
-"""Corpora and gold sets from files or tables."""
+"""Corpora and gold sets from files or tables.
+
+A line of a file is known by the file's name below the folder that is read and by its number in the file. Both are the
+same however the file is split among tasks and wherever the folder lies, so the draws that follow from them are too.
+"""
 
 from __future__ import annotations
 
 import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexloom.operators import text
+from lexloom.plans import scale
 
-# Key columns of a line read from files: file, split within it, and order inside the split.
-LINE_KEY = ["path", "split", "line"]
+# Key columns of a line read from files: the file's name below the folder read, and the line's number in it.
+LINE_KEY = ["path", "line"]
 SIMILARITY_SCHEMA = "word1 string, word2 string, similarity double"
+_GLOB = set("*?[{")
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of text files, ``(path, split, line, text)``; the key orders them as in the files."""
-    return spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_block_start").alias("split"),
-        # Lines of one split are read one after the other in one task.
-        F.monotonically_increasing_id().alias("line"),
-        F.col("value").alias("text"),
+def _folder(spark: SparkSession, path: str) -> str:
+    """The path of the folder below which files are named: ``path`` itself, or the folder of a file or pattern."""
+    named = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fixed = named
+    while fixed.getParent() is not None and _GLOB & set(fixed.toUri().getPath()):
+        fixed = fixed.getParent()
+    store = fixed.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    whole = store.makeQualified(fixed)
+    if fixed.equals(named) and not store.getFileStatus(fixed).isDirectory():
+        whole = whole.getParent()
+    return whole.toUri().getPath().rstrip("/") + "/"
+
+
+def _file_path(uri: Column) -> Column:
+    """The plain path of a file's encoded URI."""
+    return F.url_decode(F.replace(F.regexp_replace(uri, "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", ""), F.lit("+"), F.lit("%2B")))
+
+
+def numbered_lines(read: DataFrame, folder: str) -> DataFrame:
+    """Rows read from files with ``path``, the name below ``folder``, and ``line``, the row's number in its file.
+
+    A task reads the rows of a split one after another, so a row's number is its place in the split plus the rows of
+    the splits before it, which are counted first; only the counts are kept, one row per split.
+    """
+    own = read.columns
+    placed = read.select(
+        "*",
+        F.substring(_file_path(F.col("_metadata.file_path")), len(folder) + 1, 2**31 - 1).alias("path"),
+        F.col("_metadata.file_block_start").alias("_split"),
+        F.monotonically_increasing_id().alias("_at"),
     )
+    splits = placed.groupBy("path", "_split").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    earlier = W.partitionBy("path").orderBy("_split").rowsBetween(W.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first")
+    splits = scale.materialise(splits.select("path", "_split", before.alias("_shift")), "splits")
+    line = (F.col("_at") + F.col("_shift")).alias("line")
+    return scale.lookup_join(placed, splits, ["path", "_split"]).select("path", line, *own)
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of text files, ``(path, line, text)``; the key orders them as in the files."""
+    return numbered_lines(spark.read.text(path), _folder(spark, path)).withColumnRenamed("value", "text")
 
 
 def read_corpus_text(spark: SparkSession, path: str) -> DataFrame:
-    """Text files as one token stream ``(pos, word, label)``, lower-cased."""
+    """Text files as one token stream ``(pos, word, label)``, lower-cased; files follow each other by name."""
     tokens = text.tokenize(read_lines(spark, path), LINE_KEY)
     return text.token_positions(tokens, [*LINE_KEY, "tok"]).select("pos", "word", "label")
 
 
 def file_stem(path: Column) -> Column:
     """File name without directories and extension."""
-    return F.url_decode(F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?$", 1))
+    return F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?$", 1)
 
 
 def read_partitioned_files(
     spark: SparkSession, path: str, label_pattern: str | None = None
 ) -> DataFrame:
     """Tokens of a directory of files, labelled by file stem, or by the first group of
-    ``label_pattern`` in the path."""
+    ``label_pattern`` in the file's name below the directory."""
     lines = read_lines(spark, path)
     if label_pattern is None:
         label = file_stem(F.col("path"))
     else:
-        label = F.url_decode(F.regexp_extract("path", label_pattern, 1))
+        label = F.regexp_extract("path", label_pattern, 1)
     return text.tokenize(lines.withColumn("label", label), LINE_KEY, label="label")
 
 
@@ -63,13 +103,9 @@ def read_labelled_csv(
 ) -> DataFrame:
     """A CSV with a header, one text per row, grouped by its label column."""
     rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    rows = rows.select(
-        F.col(label),
-        F.col(text_col).alias("text"),
-        F.input_file_name().alias("path"),
-        F.monotonically_increasing_id().alias("row"),
-    )
-    return group_texts_by_label(rows, label, ["path", "row"])
+    rows = rows.select(F.col(label).alias("_label"), F.col(text_col).alias("_text"))
+    rows = numbered_lines(rows, _folder(spark, path)).select("path", "line", F.col("_label").alias(label), F.col("_text").alias("text"))
+    return group_texts_by_label(rows, label, LINE_KEY)
 
 
 def read_similarity_set(

@@ -103,6 +103,36 @@ def test_text_files(spark, tmp_path):
     assert {(r["label"], r["word"]) for r in labelled.collect()} >= {("fi", "mitä"), ("en.b", "hello")}
 
 
+def test_the_same_files_are_the_same_corpus(spark, tmp_path):
+    """Whatever the splits are and wherever the folder lies: positions and draws agree."""
+    names = {"a+b ü.txt": "\n", "sub/c.txt": "\r\n", "z.txt": "\n"}
+    for folder in ("one", "two/deeper"):
+        for i, (name, end) in enumerate(names.items()):
+            file = tmp_path / folder / name
+            file.parent.mkdir(parents=True, exist_ok=True)
+            file.write_bytes(end.join(f"w{i} w{j % 7} é{j}" * (j % 3) for j in range(401)).encode())
+    found = []
+    for folder in ("one", "two/deeper"):
+        for size in ("128m", "1500b", "97b"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+            try:
+                where = str(tmp_path / folder)
+                lines = sources.read_lines(spark, where)
+                assert [r["line"] for r in lines.where("path = 'z.txt'").orderBy("line").collect()] == list(range(401))
+                corpus, vocab = text.preprocess_standard(
+                    text.tokenize(sources.read_lines(spark, where + "/*"), sources.LINE_KEY), [*sources.LINE_KEY, "tok"], limit=2, cutoff=0.02
+                )
+                found.append((sorted(map(tuple, lines.collect())), sorted(map(tuple, corpus.collect())), words(sources.read_corpus_text(spark, where))))
+            finally:
+                spark.conf.unset("spark.sql.files.maxPartitionBytes")
+                spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert all(f == found[0] for f in found)
+    assert {r[0] for r in found[0][0]} == {"a+b ü.txt", "z.txt"} and 10 < len(found[0][1]) < len(found[0][2])
+    one = sources.read_lines(spark, str(tmp_path / "one" / "z.txt"))
+    assert {r["path"] for r in one.select("path").distinct().collect()} == {"z.txt"}
+
+
 def test_csv_grouped_by_label(spark, tmp_path):
     (tmp_path / "s.csv").write_text('year,speech\n2011,"Well, then. Stop"\n2010,Go on!\n')
     tokens = sources.read_labelled_csv(spark, str(tmp_path / "s.csv"))
