@@ -364,46 +364,94 @@ def _map(model, tokens, size, **options):
     return map_fit.map_estimate(model, tokens, batch_size=-(-size // 2), ws=WS, ns=NS, seed=SEED, **options)
 
 
-_CBOW_FIT, _CBOW_STATE = unrolled.fit("cbow", 16, 1)
-_SGNS_FIT, _ = unrolled.fit("sgns", 16, 2)
+def _fitted(dim: int, parts: list[str], select: str) -> str:
+    return with_(sql.CORPUS, sql.KEYS, sql.theta(dim), unrolled.encoded(), *parts, select=select)
 
 
-@register(
-    "map_estimate",
-    with_(
-        _CBOW_FIT,
-        select=f"""SELECT word || CASE WHEN role = 'c' THEN '_c' ELSE '' END AS key, {_LONG}
-FROM {_CBOW_STATE} JOIN keys USING (ix)""",
-    ),
-)
+_HISTORY = f"SELECT epoch::INT AS epoch, batch::INT AS batch, metric, {sql.r6('value')} AS value, n::BIGINT AS n FROM history"
+_NAMED_KEY = "word || CASE WHEN role = 'c' THEN '_c' ELSE '' END AS key"
+_CBOW_FIT, _CBOW_STATE = unrolled.map_fit("cbow", 16, 1)
+_SGNS_FIT, _ = unrolled.map_fit("sgns", 16, 2)
+
+
+def _rounded(history):
+    return history.select("epoch", "batch", "metric", r6(F.col("value")).alias("value"), "n")
+
+
+@register("map_estimate", _fitted(16, _CBOW_FIT, f"SELECT {_NAMED_KEY}, {_LONG} FROM {_CBOW_STATE} JOIN keys USING (ix)"))
 def map_estimate(spark, sf_dir):
     tokens, vocab, size = corpus(spark, sf_dir)
     return long_vectors(_map(fresh_model(vocab, 16), tokens, size, epochs=1).model.vectors(), ["key"])
 
 
-@register("map_estimate_validated")
+_SPLIT_SQL = """bounds AS (SELECT floor(0.7 * size + 1e-9)::BIGINT AS one, floor((0.7 + 0.15) * size + 1e-9)::BIGINT AS two FROM size),
+train AS MATERIALIZED (SELECT pos, wix, cix FROM enc, bounds WHERE pos < one),
+valid AS MATERIALIZED (SELECT pos - one AS pos, wix, cix FROM enc, bounds WHERE pos >= one AND pos < two)"""
+_VALID_FIT, _VALID_STATE = unrolled.map_fit("cbow", 16, 1, "train", valid="valid")
+
+
+# The norm of the vectors returned shows which state was chosen.
+@register(
+    "map_estimate_validated",
+    _fitted(
+        16,
+        [
+            _SPLIT_SQL,
+            *_VALID_FIT,
+            "best AS (SELECT arg_max(epoch, value) AS epoch FROM history WHERE metric = 'validation_log_lik')",
+            f"""norms AS (SELECT 0 AS epoch, sum(list_dot_product(vec, vec)) AS value, count(*) AS n FROM state_0
+  UNION ALL SELECT 1, sum(list_dot_product(vec, vec)), count(*) FROM {_VALID_STATE})""",
+        ],
+        _HISTORY + f" UNION ALL SELECT NULL, NULL, 'squared_norm', {sql.r6('value')}, n FROM norms JOIN best USING (epoch)",
+    ),
+)
 def map_estimate_validated(spark, sf_dir):
     _, vocab, _, train, valid = _split(spark, sf_dir)
     size = windows.corpus_size(train)
     fit = _map(fresh_model(vocab, 16), train, size, epochs=1, valid=valid, early_stopping=True)
-    return fit.history
+    norm = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)
+    kept = fit.model.theta.agg(r6(F.sum(norm)).alias("value"), F.count(F.lit(1)).alias("n"))
+    nothing = F.lit(None).cast("int")
+    kept = kept.select(nothing.alias("epoch"), nothing.alias("batch"), F.lit("squared_norm").alias("metric"), "value", "n")
+    return _rounded(fit.history).unionByName(kept)
 
 
 @register(
     "training_history",
-    with_(
+    _fitted(
+        16,
         _SGNS_FIT,
-        select=f"""SELECT epoch::INT AS epoch, {sql.r6('avg(loss)')} AS mean_loss, count(*) AS batches, sum(n)::BIGINT AS n
-FROM losses GROUP BY epoch""",
+        f"""SELECT epoch::INT AS epoch, {sql.r6('avg(value)')} AS mean_loss, count(*) AS batches, sum(n)::BIGINT AS n
+FROM history GROUP BY epoch""",
     ),
 )
 def training_history(spark, sf_dir):
     tokens, vocab, size = corpus(spark, sf_dir)
-    found = map_fit.training_history(_map(fresh_model(vocab, 16), tokens, size, epochs=2, kind="sgns"))
-    return found.withColumn("mean_loss", r6(F.col("mean_loss")))
+    history = map_fit.training_history(_map(fresh_model(vocab, 16), tokens, size, kind="sgns", epochs=2))
+    return history.withColumn("mean_loss", r6(F.col("mean_loss")))
+
 
+_ADJACENT_SQL = """pairs AS MATERIALIZED (
+  SELECT a.word AS word1, b.word AS word2, count(*) AS similarity FROM corpus a JOIN corpus b ON b.pos = a.pos + 1 GROUP BY ALL),
+named AS MATERIALIZED (SELECT word, vec FROM keys JOIN theta USING (ix) WHERE role = 'w'),
+known AS MATERIALIZED (
+  SELECT similarity, round(list_dot_product(a.vec, b.vec) / (sqrt(list_dot_product(a.vec, a.vec)) * sqrt(list_dot_product(b.vec, b.vec))), 9)
+    AS cosine FROM pairs JOIN named a ON a.word = word1 JOIN named b ON b.word = word2),
+ranks AS (
+  SELECT rank() OVER (ORDER BY similarity) + (count(*) OVER (PARTITION BY similarity) - 1) / 2.0 AS rx,
+    rank() OVER (ORDER BY cosine) + (count(*) OVER (PARTITION BY cosine) - 1) / 2.0 AS ry FROM known),
+rho AS MATERIALIZED (SELECT corr(rx, ry) AS rho, count(*) AS n FROM ranks)"""
 
-@register("similarity_during_training")
+
+@register(
+    "similarity_during_training",
+    _fitted(
+        16,
+        [*_CBOW_FIT, _ADJACENT_SQL],
+        f"""{_HISTORY} UNION ALL SELECT 0, NULL, 'similarity adjacent', {sql.r6('rho')}, n FROM rho
+UNION ALL SELECT 0, NULL, 'similarity', {sql.r6('rho')}, NULL FROM rho""",
+    ),
+)
 def similarity_during_training(spark, sf_dir):
     tokens, vocab, size = corpus(spark, sf_dir)
     pairs = tokens.select(
@@ -413,13 +461,16 @@ def similarity_during_training(spark, sf_dir):
     pairs = pairs.groupBy("word1", "word2").agg(F.count(F.lit(1)).cast("double").alias("similarity"))
     pairs = scale.materialise(pairs.withColumn("dataset", F.lit("adjacent")), "pairs")
     fit = _map(fresh_model(vocab, 16), tokens, size, epochs=1, similarity_pairs=pairs)
-    return fit.history
+    return _rounded(fit.history)
+
 
+_GRAPH_FIT, _GRAPH_STATE = unrolled.map_fit("cbow", DIM, 1, lambda1=LAMBDA1)
 
-@register("map_estimate_graph")
+
+@register("map_estimate_graph", with_(_DYNAMIC, unrolled.encoded(labelled=True), *_GRAPH_FIT, select=_HISTORY))
 def map_estimate_graph(spark, sf_dir):
     tokens, model = _dynamic_model(spark, sf_dir)
-    return _map(model, tokens, windows.corpus_size(tokens), epochs=1).history
+    return _rounded(_map(model, tokens, windows.corpus_size(tokens), epochs=1).history)
 
 
 @register(
@@ -493,24 +544,38 @@ def rotation_mask(spark, sf_dir):
     )
 
 
-@register("mean_field_vi")
-def mean_field_vi(spark, sf_dir):
+_VI_FIT, _VI_STATE = unrolled.vi_fit("cbow", 8, 1)
+_VI_TWICE, _ = unrolled.vi_fit("cbow", 8, 2)
+
+
+def _vi(spark, sf_dir, epochs):
     tokens, vocab, size = corpus(spark, sf_dir)
-    fit = vi_fit.mean_field_vi(
-        fresh_model(vocab, 8), tokens, batch_size=-(-size // 2), ws=WS, ns=NS, epochs=1, seed=SEED
+    return vi_fit.mean_field_vi(
+        fresh_model(vocab, 8), tokens, batch_size=-(-size // 2), ws=WS, ns=NS, epochs=epochs, seed=SEED
     )
+
+
+@register(
+    "mean_field_vi",
+    _fitted(
+        8,
+        [*_VI_FIT, f"flat_vi AS (SELECT ix, unnest(mean) AS m, unnest(log_std) AS s, generate_subscripts(mean, 1) - 1 AS d FROM {_VI_STATE})"],
+        f"SELECT {_NAMED_KEY}, d, {sql.r6('m')} AS mean, {sql.r6('exp(s)')} AS std FROM flat_vi JOIN keys USING (ix)",
+    ),
+)
+def mean_field_vi(spark, sf_dir):
+    fit = _vi(spark, sf_dir, 1)
     std = fit.std.theta.select("ix", F.col("vec").alias("std"))
     both = fit.mean.vectors().join(std, on="ix").select("key", F.posexplode(F.arrays_zip("vec", "std")))
-    return both.select("key", F.col("pos").alias("d"), F.col("col.vec").alias("mean"), F.col("col.std").alias("std"))
+    return both.select(
+        "key", F.col("pos").cast("bigint").alias("d"), r6(F.col("col.vec")).alias("mean"), r6(F.col("col.std")).alias("std")
+    )
 
 
-@register("elbo_history")
+@register("elbo_history", _fitted(8, _VI_TWICE, "SELECT epoch::INT AS epoch, round(elbo, 3) + 0.0 AS elbo FROM elbos"))
 def elbo_history(spark, sf_dir):
-    tokens, vocab, size = corpus(spark, sf_dir)
-    fit = vi_fit.mean_field_vi(
-        fresh_model(vocab, 8), tokens, batch_size=-(-size // 2), ws=WS, ns=NS, epochs=2, seed=SEED
-    )
-    return vi_fit.elbo_history(fit)
+    history = vi_fit.elbo_history(_vi(spark, sf_dir, 2))
+    return history.select("epoch", (F.round("elbo", 3) + F.lit(0.0)).alias("elbo"))
 
 
 @register("partial_fit_stream")
