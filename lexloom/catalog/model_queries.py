@@ -578,18 +578,27 @@ def elbo_history(spark, sf_dir):
     return history.select("epoch", (F.round("elbo", 3) + F.lit(0.0)).alias("elbo"))
 
 
-@register("partial_fit_stream")
+FEED_PARTS, FEED_FILES = 3, 4
+_STREAM_FIT, _STREAM_STATE = unrolled.map_fit("sgns", 16, 1, ordered=FEED_PARTS)
+
+
+@register("partial_fit_stream", _fitted(16, _STREAM_FIT, f"SELECT {_NAMED_KEY}, {_LONG} FROM {_STREAM_STATE} JOIN keys USING (ix)"))
 def partial_fit_stream(spark, sf_dir):
     tokens, vocab, size = corpus(spark, sf_dir)
     model = fresh_model(vocab, 16)
     encoded = embedding.encode_corpus(model, tokens)
-    pairs = windows.sgns_pairs(_examples(windows.example_bags(encoded, size, WS, NS, BATCH, SEED)))
-    # The feed: files of pairs that the stream picks up a few at a time.
+    examples = _examples(windows.example_bags(encoded, size, WS, NS, BATCH, SEED))
+    third = -(-size // FEED_PARTS)
+    part = F.floor(F.floor(F.col("ex_id") / (1 + NS)) / third).alias("part")
+    pairs = scale.materialise(windows.sgns_pairs(examples).select(part, "i", "j", "x"), "pairs")
+    # The feed grows part by part, each in as many files as the stream picks up at a time.
     feed = scale.scratch_path(spark, "feed")
-    pairs.select("i", "j", "x").write.parquet(feed)
-    stream = spark.readStream.schema("i bigint, j bigint, x double").option("maxFilesPerTrigger", 8).parquet(feed)
+    for number in range(FEED_PARTS):
+        rows = pairs.where(F.col("part") == number).select("i", "j", "x")
+        rows.repartition(FEED_FILES).write.mode("append").parquet(feed)
+    stream = spark.readStream.schema("i bigint, j bigint, x double").option("maxFilesPerTrigger", FEED_FILES).parquet(feed)
     folder = scale.scratch_path(spark, "stream")
-    partial_fit.partial_fit_stream(model, stream, folder, size).awaitTermination()
+    partial_fit.partial_fit_stream(model, stream, folder, pairs.count()).awaitTermination()
     return long_vectors(partial_fit.latest_model(spark, model, folder).vectors(), ["key"])
 
 

@@ -26,8 +26,8 @@ def encoded(out: str = "enc", corpus: str = "corpus", labelled: bool = False) ->
   JOIN keys a ON a.word = c.word AND a.role = 'c')"""
 
 
-def windows(p: str) -> str:
-    return f"""size_{p} AS (SELECT count(*) AS size, (count(*) + {TURNS - 1}) // {TURNS} AS half FROM {p}),
+def windows(p: str, batches: int = TURNS) -> str:
+    return f"""size_{p} AS (SELECT count(*) AS size, (count(*) + {batches - 1}) // {batches} AS half FROM {p}),
 reach_{p} AS MATERIALIZED (
   SELECT a.pos, k, b.cix FROM (
     SELECT pos, k, (pos + o + size) % size AS seen FROM {p}, (VALUES {_OFFSETS}) offsets(k, o), size_{p}) a
@@ -46,7 +46,9 @@ centres_{name} AS MATERIALIZED (
   UNION ALL SELECT pos, u.wix, 0.0::DOUBLE FROM draws_{name} ASOF JOIN unigrams_{p} u ON drawn >= u.low)"""
 
 
-def turns(e: int) -> str:
+def turns(e: int, ordered: int | None = None) -> str:
+    if ordered:
+        return f"turns_{e} AS (SELECT batch_id, batch_id AS turn FROM (SELECT unnest(range({ordered})) AS batch_id))"
     return f"""turns_{e} AS (
   SELECT batch_id, row_number() OVER (ORDER BY {sql.uniform('batch', f"'{e}'", 'batch_id')}, batch_id) - 1 AS turn
   FROM (SELECT unnest(range({TURNS})) AS batch_id))"""
@@ -106,15 +108,16 @@ def _log_lik(s: str) -> str:
 
 
 def map_fit(
-    kind: str, dim: int, epochs: int, p: str = "enc", lambda1: float | None = None, valid: str | None = None, adam: Adam = Adam()
+    kind: str, dim: int, epochs: int, p: str = "enc", lambda1: float | None = None, valid: str | None = None,
+    ordered: int | None = None, adam: Adam = Adam(),
 ) -> tuple[list[str], str]:
     """Common table expressions of a fit on the corpus ``p``, and the name of its last state.
 
     ``history(epoch, batch, metric, value, n)`` has its losses, and validation on the corpus ``valid``. With ``lambda1`` the prior
-    has the graph ``edges(src, dst, weight)``.
+    has the graph ``edges(src, dst, weight)``. ``ordered`` is a number of batches taken one after another.
     """
     zero = f"list_resize([0.0::DOUBLE], {dim}, 0.0::DOUBLE)"
-    parts = [windows(p), f"state_0 AS MATERIALIZED (SELECT ix, vec, {zero} AS m, {zero} AS v FROM theta)"]
+    parts = [windows(p, ordered or TURNS), f"state_0 AS MATERIALIZED (SELECT ix, vec, {zero} AS m, {zero} AS v FROM theta)"]
     rows, step = [], 0
 
     def validate(epoch: int) -> None:
@@ -126,8 +129,8 @@ def map_fit(
         parts += [windows(valid), centres("valid", valid, SEED)]
         validate(0)
     for e in range(epochs):
-        parts += [centres(str(e), p, SEED * 1_000_003 + e), turns(e)]
-        for turn in range(TURNS):
+        parts += [centres(str(e), p, SEED * 1_000_003 + e), turns(e, ordered)]
+        for turn in range(ordered or TURNS):
             before, step = f"state_{step}", step + 1
             s = str(step)
             parts += [batch(s, e, turn, p), scored(s, before, str(e), p, kind, dim), sums(s, before, p, kind, dim)]

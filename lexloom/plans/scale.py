@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -46,10 +49,45 @@ def delete(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of the tables in a folder that Spark has finished writing; none if there is no folder."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(place):
+        return []
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return sorted(s.getPath().getName() for s in store.listStatus(place) if store.exists(done(s.getPath(), "_SUCCESS")))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+class Scope(threading.local):
+    """The tables stored in the open scopes of this thread, innermost last."""
+
+    def __init__(self):
+        self.open: list[list[str]] = []
+
+
+_scopes = Scope()
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Delete every table that is stored inside, except those of :class:`Versions`.
+
+    For work whose result has been written or computed when the scope ends; a DataFrame that still has to
+    read such a table must not leave it.
+    """
+    _scopes.open.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.open.pop():
+            delete(spark, path)
+
+
 def materialise(
     df: DataFrame,
     name: str = "table",
@@ -61,7 +99,10 @@ def materialise(
     Cuts the lineage so that a lost executor costs one read, not a recomputation, and gives
     Catalyst real file sizes, column pruning and pushdown for everything built on top.
     """
-    return _stored(df, name, partition_by, session)[0]
+    table, path = _stored(df, name, partition_by, session)
+    if _scopes.open:
+        _scopes.open[-1].append(path)
+    return table
 
 
 def _stored(df, name, partition_by=None, session=None) -> tuple[DataFrame, str]:

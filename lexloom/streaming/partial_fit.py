@@ -1,8 +1,11 @@
 """Incremental MAP estimation from a stream of examples.
 
 Each micro-batch is one step. The state after micro-batch b is the table ``state/batch=b`` in the
-given folder, complete once its marker exists; the last few states are kept. A replayed micro-batch starts from the last state
-before it and writes the same numbers again, so restarts neither lose nor repeat a step.
+given folder, complete once the log of steps names it; the last few states are kept. A replayed micro-batch starts from the last
+state before it and takes the same step again, so restarts neither lose nor repeat a step.
+
+The log has one small row per step. Ten logs of a level are merged into one of the next level, so
+that after any number of steps a start reads a handful of files, and the history of all steps stays.
 """
 
 from __future__ import annotations
@@ -23,18 +26,33 @@ STATE_SCHEMA = T.StructType(
 )
 # States kept: the last one and those a replay may start from.
 KEPT = 3
+MERGED = 10  # logs of a level that become one of the next
 STEPS_SCHEMA = "batch bigint, step bigint, state string, n bigint, log_lik double"
 
 
-def _steps(spark: SparkSession, folder: str) -> DataFrame:
-    """The finished steps: one small row each."""
-    try:
-        # A folder per micro-batch; its own column holds the number, so the folder's name is not read.
-        return spark.read.schema(STEPS_SCHEMA).option("recursiveFileLookup", "true").json(f"{folder}/steps")
-    except Exception as missing:
-        if "PATH_NOT_FOUND" in str(missing):
-            return spark.createDataFrame([], STEPS_SCHEMA)
-        raise
+def steps(spark: SparkSession, folder: str) -> DataFrame:
+    """The finished steps: one small row each. A step taken again by a replay counts once."""
+    logs = [f"{folder}/steps/{name}" for name in scale.names_in(spark, f"{folder}/steps")]
+    if not logs:
+        return spark.createDataFrame([], STEPS_SCHEMA)
+    return spark.read.schema(STEPS_SCHEMA).json(logs).dropDuplicates(["batch"])
+
+
+def _log(spark: SparkSession, folder: str, row: tuple) -> None:
+    """Add a step to the log; a log is complete when its folder has the name that readers look for."""
+    spark.createDataFrame([row], STEPS_SCHEMA).coalesce(1).write.mode("overwrite").json(f"{folder}/steps/level=0-{row[0]}")
+    level = 0
+    while True:
+        full = [n for n in scale.names_in(spark, f"{folder}/steps") if n.startswith(f"level={level}-")]
+        if len(full) < MERGED:
+            return
+        paths = [f"{folder}/steps/{n}" for n in full]
+        # Rows may be in both for a moment, and are then read once.
+        merged = spark.read.schema(STEPS_SCHEMA).json(paths).dropDuplicates(["batch"])
+        level += 1
+        merged.coalesce(1).write.mode("overwrite").json(f"{folder}/steps/level={level}-{row[0]}")
+        for path in paths:
+            scale.delete(spark, path)
 
 
 def partial_fit_batch(
@@ -50,24 +68,27 @@ def partial_fit_batch(
     """One step on ``pairs(i, j, x)`` or ``pairs(i, ctx, x)`` of row indices."""
     # A micro-batch comes in a session of its own; the step runs in the model's.
     spark = model.theta.sparkSession
-    last = _steps(spark, folder).where(F.col("batch") < batch).orderBy(F.desc("batch"), F.desc("step")).first()
+    last = steps(spark, folder).where(F.col("batch") < batch).orderBy(F.desc("batch")).first()
     if last is None:
         step, state = 1, optimise.with_moments(model.theta, model.dim)
-        state = scale.materialise(state, "state")
     else:
         step, state = last["step"] + 1, spark.read.schema(STATE_SCHEMA).parquet(last["state"])
-    bags = scale.materialise(gradient.pairs_as_bags(pairs), "stream-bags", session=spark)
-    rows = bags.count()
-    if rows == 0:
-        return
-    state, seen = map_step(model, state, bags, kind, rows / size, step, adam, plan)
     path = f"{folder}/state/batch={batch}"
-    state.write.mode("overwrite").parquet(path)
-    marker = spark.createDataFrame([(batch, step, path, seen["n"], seen["log_lik"])], STEPS_SCHEMA)
-    # A replayed micro-batch writes its marker again in place.
-    marker.coalesce(1).write.mode("overwrite").json(f"{folder}/steps/of={batch}")
-    for old in _steps(spark, folder).where(F.col("batch") < batch).orderBy(F.desc("batch")).select("state").collect()[KEPT - 1 : KEPT + 1]:
-        scale.delete(spark, old["state"])
+
+    def store(new: DataFrame) -> DataFrame:
+        new.write.mode("overwrite").parquet(path)
+        return spark.read.schema(STATE_SCHEMA).parquet(path)
+
+    with scale.scope(spark):
+        bags = scale.materialise(gradient.pairs_as_bags(pairs), "stream-bags", session=spark)
+        rows = bags.count()
+        if rows == 0:
+            return
+        seen = map_step(model, state, bags, kind, rows / size, step, adam, plan, store)[1]
+    _log(spark, folder, (batch, step, path, seen["n"], seen["log_lik"]))
+    done = sorted(int(n.removeprefix("batch=")) for n in scale.names_in(spark, f"{folder}/state"))
+    for old in [b for b in done if b <= batch][:-KEPT]:
+        scale.delete(spark, f"{folder}/state/batch={old}")
 
 
 def partial_fit_stream(
@@ -92,7 +113,7 @@ def partial_fit_stream(
 
 def latest_model(spark: SparkSession, model: EmbeddingModel, folder: str) -> EmbeddingModel:
     """The model after the last finished micro-batch."""
-    last = _steps(spark, folder).orderBy(F.desc("batch"), F.desc("step")).first()
+    last = steps(spark, folder).orderBy(F.desc("batch")).first()
     if last is None:
         return model
     return model.with_theta(spark.read.schema(STATE_SCHEMA).parquet(last["state"]).select("ix", "vec"))

@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -227,18 +229,56 @@ def test_stream_steps_can_be_replayed(spark, model, tmp_path):
     pairs.repartition(3).write.parquet(feed)
     stream = spark.readStream.schema(pairs.schema).option("maxFilesPerTrigger", 2).parquet(feed)
     partial_fit.partial_fit_stream(model, stream, folder, 400).awaitTermination(120)
-    steps = spark.read.schema(partial_fit.STEPS_SCHEMA).json(f"{folder}/steps")
+    steps = partial_fit.steps(spark, folder)
     assert steps.agg(F.sum("n")).first()[0] == 400
     after = array_of(partial_fit.latest_model(spark, model, folder).theta, "vec")
     assert not np.allclose(after, array_of(model.theta, "vec"))
     # Replaying the last micro-batch starts from the state before it and leaves the step count alone.
     last = steps.orderBy(F.desc("batch")).first()
     partial_fit.partial_fit_batch(model, pairs, last["batch"], folder, 400)
-    again = spark.read.schema(partial_fit.STEPS_SCHEMA).json(f"{folder}/steps").collect()
+    again = partial_fit.steps(spark, folder).collect()
     assert sorted(r["step"] for r in again) == list(range(1, last["step"] + 1))
     assert len({r["batch"] for r in again}) == len(again)
 
 
+def files_below(path):
+    return sum(len(names) for _, _, names in os.walk(path))
+
+
+def test_many_micro_batches_leave_few_files(spark, model, tmp_path):
+    folder, scratch = str(tmp_path / "stream"), tmp_path / "scratch"
+    spark.conf.set(scale.SCRATCH, str(scratch))
+    try:
+        pairs = spark.range(30).selectExpr("id % 5 AS i", "id % 7 AS j", "double(id % 2) AS x")
+        for batch in range(23):
+            partial_fit.partial_fit_batch(model, pairs, batch, folder, 1000)
+    finally:
+        spark.conf.unset(scale.SCRATCH)
+    assert files_below(scratch) == 0
+    assert len(os.listdir(f"{folder}/state")) == partial_fit.KEPT
+    assert sorted(os.listdir(f"{folder}/steps")) == ["level=0-20", "level=0-21", "level=0-22", "level=1-19", "level=1-9"]
+    rows = partial_fit.steps(spark, folder).orderBy("batch").collect()
+    assert [(r["batch"], r["step"], r["n"]) for r in rows] == [(b, b + 1, 30) for b in range(23)]
+    # A replay after its log was merged: the step is taken again and counted once.
+    before = array_of(partial_fit.latest_model(spark, model, folder).theta, "vec")
+    partial_fit.partial_fit_batch(model, pairs, 22, folder, 1000)
+    assert partial_fit.steps(spark, folder).count() == 23
+    assert np.allclose(array_of(partial_fit.latest_model(spark, model, folder).theta, "vec"), before)
+
+
+def test_fits_delete_what_they_store_on_the_way(spark, model, text_corpus, tmp_path, monkeypatch):
+    monkeypatch.setattr(kernel, "THETA_BYTES", 0)
+    spark.conf.set(scale.SCRATCH, str(tmp_path))
+    try:
+        counts = []
+        for epochs in (1, 3):
+            map_fit.map_estimate(model, text_corpus, ws=WS, ns=NS, batch_size=SIZE // 2, epochs=epochs)
+            counts.append(len(os.listdir(tmp_path)))
+        assert counts[1] == 2 * counts[0]
+    finally:
+        spark.conf.unset(scale.SCRATCH)
+
+
 def test_batches_take_the_prior_of_their_own_rows(spark, model, text_corpus):
     data = training.Examples(model, text_corpus, None, None, "cbow", WS, NS, 250, 0, None, True)
     assert sorted(b.rows for b in data.epoch(0)) == [90, 250, 250, 250]
