@@ -93,14 +93,6 @@ def _tiny_windows(rows, ws, size, value, keep):
     return rows.join(F.broadcast(ctx), "pos").select("pos", *keep, "ctx")
 
 
-def unigram_table(pool: DataFrame, value: str) -> DataFrame:
-    """``(value, n, _low)``: each value of the pool, how often it occurs, and how many tokens come before it in the order of
-    values; stored."""
-    counts = pool.groupBy(F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    summed = scale.running_total(counts, ["value"], "n", "_high")
-    return scale.materialise(summed.select("value", "n", (F.col("_high") - F.col("n")).alias("_low")), "unigrams")
-
-
 def with_negatives(
     rows: DataFrame, pool: DataFrame, pool_size: int, ns: int, seed: int, value: str, limit: int | None = None
 ) -> DataFrame:
@@ -110,18 +102,20 @@ def with_negatives(
     in their order, by binary search inside the task that holds the row: nothing is shuffled. Values
     beyond ``limit`` bytes are looked up by a merge of ranges of places instead.
     """
-    table = unigram_table(pool, value)
+    counts = pool.groupBy(F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    counts = scale.materialise(counts, "unigrams")
     numbers = F.sequence(F.lit(1), F.lit(ns))
     drawn = F.transform(numbers, lambda k: hashing.draw_index(pool_size, seed, "negative", F.col("pos"), k))
     rows = rows.withColumn("_drawn", drawn)
     limit = min(POOL_BYTES, scale.BROADCAST_BYTES) if limit is None else limit
-    return (_searched if scale.fits_broadcast(table, limit=limit) else _merged)(rows, table)
+    return (_searched if scale.fits_broadcast(counts, limit=limit) else _merged)(rows, counts)
 
 
-def _searched(rows: DataFrame, table: DataFrame) -> DataFrame:
-    found = table.orderBy("_low").select("value", "_low").toArrow().combine_chunks()
+def _searched(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    found = counts.toArrow().sort_by("value").combine_chunks()
+    n = found.column("n").to_numpy()
     values = found.column("value").combine_chunks()
-    shared = rows.sparkSession.sparkContext.broadcast((found.column("_low").to_numpy(), values))
+    shared = rows.sparkSession.sparkContext.broadcast((np.cumsum(n) - n, values))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lows, values = shared.value
@@ -133,14 +127,16 @@ def _searched(rows: DataFrame, table: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, picked], names=[*batch.schema.names, "_negatives"])
 
     kinds = [(f.name, f.dataType.simpleString()) for f in rows.schema.fields]
-    kinds.append(("_negatives", f"array<{table.schema['value'].dataType.simpleString()}>"))
+    kinds.append(("_negatives", f"array<{counts.schema['value'].dataType.simpleString()}>"))
     return rows.mapInArrow(search, ", ".join(f"`{n}` {k}" for n, k in kinds))
 
 
-def _merged(rows: DataFrame, table: DataFrame) -> DataFrame:
+def _merged(rows: DataFrame, counts: DataFrame) -> DataFrame:
     """Draws and values meet by range of places. Draws are spread evenly, so no range is hot; a value is copied to every
     range it reaches into, which adds at most one row per range."""
     rows = scale.materialise(rows, "drawn")
+    table = scale.running_total(counts, ["value"], "n", "_high")
+    table = scale.materialise(table.select("value", "n", (F.col("_high") - F.col("n")).alias("_low")), "running-unigrams")
     total = table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ns = rows.agg(F.coalesce(F.sum(F.size("_drawn")), F.lit(0))).first()[0]
