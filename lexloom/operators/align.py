@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lexloom.functions import vectors
@@ -23,28 +23,41 @@ def _rows(reference: EmbeddingModel, model: EmbeddingModel, words: DataFrame) ->
     return located(found, reference.keys, reference.names, "key_reference", "_there")
 
 
-def paired_vectors(reference: EmbeddingModel, model: EmbeddingModel, words: DataFrame) -> DataFrame:
-    """The named words with the vectors of both models."""
+def _with_vectors(rows: DataFrame, reference: EmbeddingModel, model: EmbeddingModel, how: str) -> DataFrame:
     here = model.theta.select(F.col("ix").alias("_here"), "vec")
     there = reference.theta.select(F.col("ix").alias("_there"), F.col("vec").alias("vec_reference"))
-    return _rows(reference, model, words).join(here, "_here").join(there, "_there").drop("_here", "_there")
+    return rows.join(here, "_here", how).join(there, "_there", how)
+
+
+def paired_vectors(reference: EmbeddingModel, model: EmbeddingModel, words: DataFrame) -> DataFrame:
+    """The named words with the vectors of both models."""
+    return _with_vectors(_rows(reference, model, words), reference, model, "inner").drop("_here", "_there")
 
 
 def cross_product(pairs: DataFrame, dim: int) -> DataFrame:
-    """``(d1, row)``: row d1 of the sum over pairs of outer(reference vector, vector).
+    """``(d1, row)``: row d1 of the sum over pairs of outer(reference vector, vector)."""
+    return cross_products(pairs.withColumn("_model", F.lit(0)), dim).select("d1", "row")
+
 
-    Every task sums its own pairs, so D rows per task are shuffled.
+def cross_products(pairs: DataFrame, dim: int) -> DataFrame:
+    """``(_model, d1, row)``: the cross product of every model's pairs (``_model`` is a small number).
+
+    Every task sums its own pairs, so D rows per task and model are shuffled.
     """
     def run(batches):
-        total = np.zeros((dim, dim))
+        totals: dict[int, np.ndarray] = {}
         for batch in batches:
-            a, b = (np.asarray(batch.column(c).flatten()).reshape(-1, dim) for c in (0, 1))
-            total += a.T @ b
-        rows = pa.ListArray.from_arrays(np.arange(dim + 1, dtype=np.int32) * dim, total.ravel())
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(dim)), rows], names=["d1", "row"])
+            of = batch.column(0).to_numpy()
+            a, b = (np.asarray(batch.column(c).flatten()).reshape(-1, dim) for c in (1, 2))
+            for m in np.unique(of).tolist():
+                mine = of == m
+                totals[m] = totals.get(m, 0.0) + a[mine].T @ b[mine]
+        for m, total in totals.items():
+            rows = pa.ListArray.from_arrays(np.arange(dim + 1, dtype=np.int32) * dim, total.ravel())
+            yield pa.RecordBatch.from_arrays([pa.array([m] * dim, pa.int32()), pa.array(np.arange(dim)), rows], names=["_model", "d1", "row"])
 
-    partial = pairs.select("vec_reference", "vec").mapInArrow(run, "d1 bigint, row array<double>")
-    return vectors.sum_vectors(partial, ["d1"], "row", dim)
+    partial = pairs.select("_model", "vec_reference", "vec").mapInArrow(run, "_model int, d1 bigint, row array<double>")
+    return vectors.sum_vectors(partial, ["_model", "d1"], "row", dim)
 
 
 def rotate(theta: DataFrame, matrix: np.ndarray) -> DataFrame:
@@ -62,21 +75,56 @@ def rotate(theta: DataFrame, matrix: np.ndarray) -> DataFrame:
     return theta.select("ix", "vec").mapInArrow(run, "ix bigint, vec array<double>")
 
 
-def alignment_checks(
-    reference: EmbeddingModel, model: EmbeddingModel, words: DataFrame
-) -> DataFrame:
-    """One row: word pairs, those missing in either model, both dimensions, and whether there are
-    enough words to determine a rotation."""
-    marked = _rows(reference, model, words)
+def _counts(model: EmbeddingModel, reference: EmbeddingModel) -> list[Column]:
     count = F.count(F.lit(1))
-    return marked.agg(
+    return [
         count.alias("n_words"),
         F.count_if(F.col("_here").isNull()).alias("n_missing"),
         F.count_if(F.col("_there").isNull()).alias("n_missing_reference"),
         F.lit(model.dim).alias("dim"),
         F.lit(reference.dim).alias("dim_reference"),
         (count >= (model.dim - 1) / 2).alias("determined"),
-    )
+    ]
+
+
+def alignment_checks(
+    reference: EmbeddingModel, model: EmbeddingModel, words: DataFrame
+) -> DataFrame:
+    """One row: word pairs, those missing in either model, both dimensions, and whether there are
+    enough words to determine a rotation."""
+    return _rows(reference, model, words).agg(*_counts(model, reference))
+
+
+def rotations(reference: EmbeddingModel, models: Sequence[EmbeddingModel], words: DataFrame) -> list[np.ndarray]:
+    """For every model the rotation (reflections allowed) that takes it closest to ``reference`` on the words.
+
+    One job: the words are looked up once per model, their cross products are summed for all models together, and the
+    checks are counted on the way.
+    """
+    for model in models:
+        if model.dim != reference.dim:
+            raise ValueError(f"vectors differ in length: {model.dim} and {reference.dim}")
+    every, seen = None, []
+    for m, model in enumerate(models):
+        seen.append(Observation())
+        rows = _rows(reference, model, words).observe(seen[-1], *_counts(model, reference))
+        pairs = _with_vectors(rows, reference, model, "left").where("vec IS NOT NULL AND vec_reference IS NOT NULL")
+        pairs = pairs.select(F.lit(m).alias("_model"), "vec_reference", "vec")
+        every = pairs if every is None else every.unionByName(pairs)
+    products = np.zeros((len(models), reference.dim, reference.dim))
+    for row in cross_products(every, reference.dim).collect():
+        products[row["_model"], row["d1"]] = row["row"]
+    for counted in seen:
+        found = counted.get
+        if found["n_missing"] or found["n_missing_reference"]:
+            raise ValueError("not all words are in both models")
+        if not found["determined"]:
+            warnings.warn(f"{found['n_words']} words do not determine a rotation in {reference.dim} dimensions")
+    out = []
+    for product in products:
+        left, _, right_t = np.linalg.svd(product)
+        out.append(right_t.T @ left.T)
+    return out
 
 
 def align(
@@ -87,17 +135,8 @@ def align(
     ``words(key[, key_reference])`` or ``words(word, label, role)`` name the vectors to compare. Only a D x D
     matrix reaches the driver.
     """
-    found = alignment_checks(reference, model, words).first()
-    if found["dim"] != found["dim_reference"]:
-        raise ValueError(f"vectors differ in length: {found['dim']} and {found['dim_reference']}")
-    if found["n_missing"] or found["n_missing_reference"]:
-        raise ValueError("not all words are in both models")
-    if not found["determined"]:
-        warnings.warn(f"{found['n_words']} words do not determine a rotation in {model.dim} dimensions")
-    rows = cross_product(paired_vectors(reference, model, words), model.dim).orderBy("d1").collect()
-    product = np.array([r["row"] for r in rows])
-    left, _, right_t = np.linalg.svd(product)
-    return model.with_theta(scale.materialise(rotate(model.theta, right_t.T @ left.T), "aligned"))
+    matrix = rotations(reference, [model], words)[0]
+    return model.with_theta(scale.materialise(rotate(model.theta, matrix), "aligned"))
 
 
 def normalize_rotation(model: EmbeddingModel, words: Sequence[str]) -> EmbeddingModel:
@@ -143,9 +182,9 @@ def posterior_mean(models: Sequence[EmbeddingModel]) -> EmbeddingModel:
     row = ["word", "label", "role"]
     contexts = reference.keys.where(F.col("role") == CONTEXT).select(*row)
     total = None
-    for model in models:
-        turned = align(reference, model, contexts)
-        named = turned.keys.select(*row, "ix").join(turned.theta, on="ix").select(*row, "vec")
+    # The vectors of every model are read once to find the rotations and once to be rotated and summed.
+    for model, matrix in zip(models, rotations(reference, models, contexts), strict=True):
+        named = model.keys.select(*row, "ix").join(rotate(model.theta, matrix), on="ix").select(*row, "vec")
         total = named if total is None else total.unionByName(named)
     summed = vectors.sum_vectors(total, row, "vec", reference.dim, F.count(F.lit(1)).alias("_n"))
     summed = scale.materialise(summed, "posterior-sum")

@@ -184,6 +184,7 @@ def lookup_join(
     dim: int | None = None,
     limit: int | None = None,
     hot: DataFrame | None = None,
+    fits: bool | None = None,
 ) -> DataFrame:
     """Equi-join of a large table with a lookup table that has one row per key.
 
@@ -192,9 +193,10 @@ def lookup_join(
     the partition they come from and a hash of the row, so that equal rows of several partitions part and
     a repeated task gives the same salts, and their few lookup rows are copied to each. ``hot`` may name the hot
     keys when they are known; there are never more than ``HOT_SHARE`` of them, so they are broadcast.
-    ``how`` is inner, left, left_semi or left_anti.
+    ``how`` is inner, left, left_semi or left_anti. ``fits`` says that the size has been checked already, and with
+    what result.
     """
-    if fits_broadcast(small, dim, limit):
+    if fits_broadcast(small, dim, limit) if fits is None else fits:
         return big.join(F.broadcast(small), on=on, how=how)
     if hot is None:
         hot = hot_keys(big, on)

@@ -144,9 +144,42 @@ def test_similarity_counts_each_pair_once_and_skips_unknown_words(spark, model,
 
 @pytest.mark.parametrize("rho,n,p", [(0.5, 10, 0.14111328125), (0.0, 20, 1.0), (1.0, 5, 0.0), (0.5, 2, None)])
 def test_p_values(rho, n, p):
-    got = stats.student_t_two_sided(rho, n)
-    assert got is p if p is None else math.isclose(got, p, rel_tol=1e-9)
+    got = stats.student_t_two_sided([rho, 0.1], [n, 7])[0]
+    assert math.isnan(got) if p is None else math.isclose(got, p, rel_tol=1e-9)
+
 
+def test_p_values_of_many_correlations_at_once(spark):
+    rho = np.array([np.nan, 0.2, -0.2, 0.999, 1e-9, -1.0, 0.01, 0.9, 0.3])
+    n = np.array([9, 2, 50, 4, 10**6, 8, 10**9, 3, 100])
+    got = stats.student_t_two_sided(rho, n)
+    for p, r, k in zip(got, rho, n):
+        if math.isnan(r) or k < 3:
+            assert math.isnan(p)
+        elif abs(r) == 1:
+            assert p == 0
+        else:  # the density of the angle is a power of the cosine
+            x = np.linspace(0, np.pi / 2, 400_001)
+            density = np.sin(x) ** (k - 3.0)
+            share = np.interp(math.acos(abs(r)), x, np.r_[0, np.cumsum((density[1:] + density[:-1]) / 2)]) / ((density[1:] + density[:-1]) / 2).sum()
+            assert k == 10**9 or math.isclose(p, share, rel_tol=2e-4, abs_tol=1e-12)
+    assert 0 <= got[6] < 1e-300 or math.isclose(got[6], math.erfc(0.01 * math.sqrt(10**9) / math.sqrt(2)), rel_tol=1e-2)
+    rows = [(0.5, 10), (None, 10), (0.5, 2)]
+    found = spark.createDataFrame(rows, "rho double, n bigint").select(stats.rank_p_value("rho", "n").alias("p")).collect()
+    assert [r["p"] if r["p"] is None else round(r["p"], 9) for r in found] == [0.141113281, None, None]
+
+
+def test_similarity_takes_few_jobs(spark, model, vectors):
+    keys = sorted(vectors)
+    rows = [(f"set{i % 3}", keys[i], keys[i + 1], float(i % 7)) for i in range(100)]
+    pairs = spark.createDataFrame(rows, "dataset string, word1 string, word2 string, similarity double")
+    context = spark.sparkContext
+    context.setJobGroup("similarity", "")
+    try:
+        assert similarity.evaluate_word_similarity(pairs, model).count() == 3
+        jobs = context.statusTracker().getJobIdsForGroup("similarity")
+    finally:
+        context.setJobGroup("", "")
+    assert len(jobs) <= 25
 
 def test_p_value_against_the_integrated_density():
     rho, n = 0.3, 25
@@ -154,4 +187,4 @@ def test_p_value_against_the_integrated_density():
     x = np.linspace(-t, t, 200_001)
     density = math.gamma((df + 1) / 2) / (math.sqrt(df * math.pi) * math.gamma(df / 2)) * (1 + x * x / df) ** (-(df + 1) / 2)
     middle = float(((density[1:] + density[:-1]) / 2 * np.diff(x)).sum())
-    assert math.isclose(stats.student_t_two_sided(rho, n), 1 - middle, rel_tol=1e-6)
+    assert math.isclose(stats.student_t_two_sided([rho], [n])[0], 1 - middle, rel_tol=1e-6)
