@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions import vectors
@@ -34,27 +34,38 @@ def paired_vectors(reference: EmbeddingModel, model: EmbeddingModel, words: Data
     return _with_vectors(_rows(reference, model, words), reference, model, "inner").drop("_here", "_there")
 
 
+# Rows of a model's sums that hold counts, in their first element: words, those missing here, those missing in the reference.
+_WORDS, _MISSING, _MISSING_REFERENCE = -1, -2, -3
+
+
 def cross_product(pairs: DataFrame, dim: int) -> DataFrame:
     """``(d1, row)``: row d1 of the sum over pairs of outer(reference vector, vector)."""
-    return cross_products(pairs.withColumn("_model", F.lit(0)), dim).select("d1", "row")
+    return cross_products(pairs.withColumn("_model", F.lit(0)), dim).where("d1 >= 0").select("d1", "row")
 
 
 def cross_products(pairs: DataFrame, dim: int) -> DataFrame:
-    """``(_model, d1, row)``: the cross product of every model's pairs (``_model`` is a small number).
+    """``(_model, d1, row)``: the cross product of every model's pairs (``_model`` is a small number), and its counts.
 
-    Every task sums its own pairs, so D rows per task and model are shuffled.
+    Every task sums its own pairs, so a few more than D rows per task and model are shuffled. Pairs without one of the vectors
+    are counted only.
     """
     def run(batches):
         totals: dict[int, np.ndarray] = {}
         for batch in batches:
             of = batch.column(0).to_numpy()
-            a, b = (np.asarray(batch.column(c).flatten()).reshape(-1, dim) for c in (1, 2))
+            has = [batch.column(c).is_valid().to_numpy(zero_copy_only=False) for c in (1, 2)]
+            both = pa.array(has[0] & has[1])
+            a, b = (np.asarray(batch.column(c).filter(both).flatten()).reshape(-1, dim) for c in (1, 2))
+            paired = of[has[0] & has[1]]
             for m in np.unique(of).tolist():
+                total = totals.setdefault(m, np.zeros((dim + 3, dim)))
+                total[:dim] += a[paired == m].T @ b[paired == m]
                 mine = of == m
-                totals[m] = totals.get(m, 0.0) + a[mine].T @ b[mine]
+                total[dim:, 0] += [(mine & ~has[0]).sum(), (mine & ~has[1]).sum(), mine.sum()]
+        places = pa.array([*range(dim), _MISSING_REFERENCE, _MISSING, _WORDS], pa.int64())
         for m, total in totals.items():
-            rows = pa.ListArray.from_arrays(np.arange(dim + 1, dtype=np.int32) * dim, total.ravel())
-            yield pa.RecordBatch.from_arrays([pa.array([m] * dim, pa.int32()), pa.array(np.arange(dim)), rows], names=["_model", "d1", "row"])
+            rows = pa.ListArray.from_arrays(np.arange(dim + 4, dtype=np.int32) * dim, total.ravel())
+            yield pa.RecordBatch.from_arrays([pa.array([m] * (dim + 3), pa.int32()), places, rows], names=["_model", "d1", "row"])
 
     partial = pairs.select("_model", "vec_reference", "vec").mapInArrow(run, "_model int, d1 bigint, row array<double>")
     return vectors.sum_vectors(partial, ["_model", "d1"], "row", dim)
@@ -75,53 +86,46 @@ def rotate(theta: DataFrame, matrix: np.ndarray) -> DataFrame:
     return theta.select("ix", "vec").mapInArrow(run, "ix bigint, vec array<double>")
 
 
-def _counts(model: EmbeddingModel, reference: EmbeddingModel) -> list[Column]:
+def alignment_checks(
+    reference: EmbeddingModel, model: EmbeddingModel, words: DataFrame
+) -> DataFrame:
+    """One row: word pairs, those missing in either model, both dimensions, and whether there are
+    enough words to determine a rotation."""
+    marked = _rows(reference, model, words)
     count = F.count(F.lit(1))
-    return [
+    return marked.agg(
         count.alias("n_words"),
         F.count_if(F.col("_here").isNull()).alias("n_missing"),
         F.count_if(F.col("_there").isNull()).alias("n_missing_reference"),
         F.lit(model.dim).alias("dim"),
         F.lit(reference.dim).alias("dim_reference"),
         (count >= (model.dim - 1) / 2).alias("determined"),
-    ]
-
-
-def alignment_checks(
-    reference: EmbeddingModel, model: EmbeddingModel, words: DataFrame
-) -> DataFrame:
-    """One row: word pairs, those missing in either model, both dimensions, and whether there are
-    enough words to determine a rotation."""
-    return _rows(reference, model, words).agg(*_counts(model, reference))
+    )
 
 
 def rotations(reference: EmbeddingModel, models: Sequence[EmbeddingModel], words: DataFrame) -> list[np.ndarray]:
     """For every model the rotation (reflections allowed) that takes it closest to ``reference`` on the words.
 
-    One job: the words are looked up once per model, their cross products are summed for all models together, and the
-    checks are counted on the way.
+    One job: the words are looked up once per model, and cross products and the checks' counts are summed for all models
+    together.
     """
-    for model in models:
+    every = None
+    for m, model in enumerate(models):
         if model.dim != reference.dim:
             raise ValueError(f"vectors differ in length: {model.dim} and {reference.dim}")
-    every, seen = None, []
-    for m, model in enumerate(models):
-        seen.append(Observation())
-        rows = _rows(reference, model, words).observe(seen[-1], *_counts(model, reference))
-        pairs = _with_vectors(rows, reference, model, "left").where("vec IS NOT NULL AND vec_reference IS NOT NULL")
-        pairs = pairs.select(F.lit(m).alias("_model"), "vec_reference", "vec")
+        rows = _with_vectors(_rows(reference, model, words), reference, model, "left")
+        pairs = rows.select(F.lit(m).alias("_model"), "vec_reference", "vec")
         every = pairs if every is None else every.unionByName(pairs)
-    products = np.zeros((len(models), reference.dim, reference.dim))
-    for row in cross_products(every, reference.dim).collect():
-        products[row["_model"], row["d1"]] = row["row"]
-    for counted in seen:
-        found = counted.get
-        if found["n_missing"] or found["n_missing_reference"]:
-            raise ValueError("not all words are in both models")
-        if not found["determined"]:
-            warnings.warn(f"{found['n_words']} words do not determine a rotation in {reference.dim} dimensions")
+    dim = reference.dim
+    sums = {(r["_model"], r["d1"]): r["row"] for r in cross_products(every, dim).collect()}
     out = []
-    for product in products:
+    for m in range(len(models)):
+        n, here, there = (sums.get((m, place), [0.0])[0] for place in (_WORDS, _MISSING, _MISSING_REFERENCE))
+        if here or there:
+            raise ValueError("not all words are in both models")
+        if n < (dim - 1) / 2:
+            warnings.warn(f"{int(n)} words do not determine a rotation in {dim} dimensions")
+        product = np.array([sums.get((m, d), [0.0] * dim) for d in range(dim)])
         left, _, right_t = np.linalg.svd(product)
         out.append(right_t.T @ left.T)
     return out
