@@ -11,8 +11,8 @@ string, and ``unescape`` restores the original.
 
 Rows are ordered by turn, ties by role and text. A null text or role counts as empty, a null
 conversation id is one conversation, repeated rows are repeated turns. An empty table gives no examples.
-Output size follows from the method: a conversation of n turns is written about n/2 times over; a
-conversation is one sequence, so its turns meet in one row.
+Output size follows from the method: a conversation of n turns is written about n/2 times over. Its turns meet in one
+row, from which its examples are made one by one, so a row holds the turns and one example, never all of them.
 """
 
 from __future__ import annotations
@@ -69,30 +69,21 @@ def examples(rows: DataFrame, reply_role: str = "assistant") -> DataFrame:
         ends = F.transform(p, lambda x, i: F.struct(i.alias("end"), x["reply"].alias("reply")))
         return F.filter(ends, lambda e: e["reply"] | (e["end"] == F.size(p) - 1))
 
-    def expand(p: Column) -> Column:
-        written = F.transform(p, lambda x: F.concat(x["head"], x["body"], F.lit(CLOSE)))
-        return let(
-            written,
-            lambda w: F.transform(
-                targets(p),
-                lambda e, k: let(
-                    F.struct(
-                        F.array_join(F.slice(w, F.lit(1), e["end"]), "").alias("context"),
-                        F.get(p, e["end"]).alias("last"),
-                    ),
-                    lambda c: F.struct(
-                        k.alias("example"),
-                        e["end"].alias("n_context"),
-                        F.concat(c["context"], c["last"]["head"], c["last"]["body"], F.lit(CLOSE)).alias("formatted"),
-                        F.when(e["reply"], F.length(c["context"]) + F.length(c["last"]["head"])).alias("loss_start"),
-                        F.when(e["reply"], F.length(c["last"]["body"])).otherwise(0).alias("loss_chars"),
-                    ),
-                ),
-            ),
-        )
-
-    expanded = gathered.select("conv_id", let(parts(F.col("turns")), expand).alias("examples"))
-    return expanded.select("conv_id", F.inline("examples"))
+    split = gathered.select("conv_id", parts(F.col("turns")).alias("_p"))
+    # The ends first: each becomes a row, and only then its context is written.
+    ends = split.select("conv_id", "_p", F.posexplode(targets(F.col("_p"))).alias("example", "_e"))
+    before = F.transform(F.slice("_p", F.lit(1), F.col("_e.end")), lambda x: F.concat(x["head"], x["body"], F.lit(CLOSE)))
+    made = ends.select(
+        "conv_id", "example", "_e", F.array_join(before, "").alias("_context"), F.get("_p", F.col("_e.end")).alias("_last")
+    )
+    return made.select(
+        "conv_id",
+        "example",
+        F.col("_e.end").alias("n_context"),
+        F.concat("_context", "_last.head", "_last.body", F.lit(CLOSE)).alias("formatted"),
+        F.when(F.col("_e.reply"), F.length("_context") + F.length("_last.head")).alias("loss_start"),
+        F.when(F.col("_e.reply"), F.length("_last.body")).otherwise(0).alias("loss_chars"),
+    )
 
 
 def read_turns(formatted: Column) -> Column:

@@ -159,6 +159,13 @@ def apply_policies(rows: DataFrame, policies: list[Policy]) -> DataFrame:
     return rows.select("*", *[passes(p).alias(f"kept_{p.name}_v{p.version}") for p in policies])
 
 
+def sole_failure(policy: Policy) -> Column:
+    """The bit of the one rule of a policy that rejects a text, or 0 if none does or several do: without that rule the text would
+    be kept."""
+    bits = F.col("fail_bits").bitwiseAND(F.lit(policy.mask).cast("bigint"))
+    return F.when(F.bit_count(bits) == 1, bits).otherwise(F.lit(0).cast("bigint"))
+
+
 def ablation(rows: DataFrame, policies: list[Policy]) -> DataFrame:
     """Per policy and rule: documents that fail the rule, that only it rejects, and the policy's totals.
 

@@ -47,18 +47,28 @@ bits AS (
   SELECT *, ({" + ".join(f"CASE WHEN {failed} THEN {quality_rules.BIT[name]} ELSE 0 END" for name, failed in quality_rules.RULES)})::BIGINT
     AS fail_bits
   FROM measured)
-SELECT *, fail_bits & {quality_rules.BASE.mask} <> 0 AS base_failed, fail_bits & {quality_rules.STRICT.mask} = 0 AS kept FROM bits
+SELECT *, fail_bits & {quality_rules.BASE.mask} <> 0 AS base_failed, fail_bits & {quality_rules.STRICT.mask} = 0 AS kept,
+  fail_bits & {quality_rules.BASE.mask} = 0 AS kept_base_v1, fail_bits & {quality_rules.STRICT.mask} = 0 AS kept_strict_v2,
+  bit_count(fail_bits)::INT AS n_failed,
+  CASE WHEN bit_count(fail_bits & {quality_rules.STRICT.mask}) = 1 THEN fail_bits & {quality_rules.STRICT.mask} ELSE 0 END::BIGINT
+    AS sole_failure
+FROM bits
 """
 
 
 @register("op1_quality_rules", _MEASURED)
 def op1_quality_rules(spark, sf_dir):
     rows = quality_rules.ledger(table(spark, sf_dir, "documents"))
-    return rows.select(
+    judged = rows.select(
         "*",
         (~quality_rules.passes(quality_rules.BASE)).alias("base_failed"),
         quality_rules.passes(quality_rules.STRICT).alias("kept"),
     )
+    # The policies one by one, and what taking a rule away would bring back, from the stored bits.
+    judged = quality_rules.apply_policies(judged, [quality_rules.BASE, quality_rules.STRICT])
+    return judged.select(
+        "*", F.bit_count("fail_bits").alias("n_failed"), quality_rules.sole_failure(quality_rules.STRICT).alias("sole_failure")
+    )
 
 
 # --- 2: chat formatting ----------------------------------------------------------------------

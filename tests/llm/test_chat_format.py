@@ -53,3 +53,13 @@ def test_every_reply_is_one_example_with_only_itself_trainable(spark):
 def test_empty_table(spark):
     none = spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")
     assert chat.digest(chat.examples(none)).count() == 0
+
+
+def test_long_conversations_make_one_example_a_row(spark):
+    """1,500 replies of which the examples together hold 1.2 GB; no row may hold more than the conversation twice."""
+    turns = spark.range(3000).selectExpr(
+        "5L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "concat(id, ' ', repeat('x', 500)) AS text"
+    )
+    found = chat.examples(turns).selectExpr("example", "n_context", "length(formatted) AS n", "loss_chars").collect()
+    assert len(found) == 1500 and {r.example for r in found} == set(range(1500))
+    assert max(r.n for r in found) < 2 * 3000 * 550 and all(r.n_context == 2 * r.example + 1 for r in found)
