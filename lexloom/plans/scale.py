@@ -151,7 +151,7 @@ def spread_small(df: DataFrame, by: list[str]) -> DataFrame:
 
 
 def _width(field: T.DataType) -> int:
-    if isinstance(field, T.StringType):
+    if isinstance(field, (T.StringType, T.BinaryType)):
         return 48
     if isinstance(field, T.ArrayType):
         return 64 * _width(field.elementType)
@@ -170,10 +170,15 @@ def row_bytes(df: DataFrame, dim: int | None = None) -> int:
 
 
 def fits_broadcast(df: DataFrame, dim: int | None = None, limit: int | None = None) -> bool:
-    """Count the rows of a (materialised) table and compare its size with the limit."""
+    """Count the rows of a (materialised) table, and the bytes of its strings, and compare its size with the limit."""
     limit = BROADCAST_BYTES if limit is None else limit
-    most = limit // row_bytes(df, dim)
-    return df.limit(most + 1).count() <= most
+    row = row_bytes(df, dim)
+    most = limit // row
+    texts = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    # What strings have beyond the width that every row is given for them.
+    longer = sum((F.greatest(t - 48, F.lit(0)) for t in texts), F.lit(0)).cast("bigint")
+    found = df.select(longer.alias("more")).limit(most + 1).agg(F.count(F.lit(1)).alias("n"), F.sum("more").alias("more")).first()
+    return found["n"] <= most and found["n"] * row + (found["more"] or 0) <= limit
 
 
 def lookup_join(
@@ -189,9 +194,9 @@ def lookup_join(
     """Equi-join of a large table with a lookup table that has one row per key.
 
     The lookup side is broadcast only if its counted size is within the limit. Otherwise it is a
-    shuffle join in which the hot keys are salted: their rows are spread over all partitions by
-    the partition they come from and a hash of the row, so that equal rows of several partitions part and
-    a repeated task gives the same salts, and their few lookup rows are copied to each. ``hot`` may name the hot
+    shuffle join in which the hot keys are salted: their rows are spread over all partitions by their place in
+    the partition they come from, equal rows as well, and their few lookup rows are copied to each. The place is that in
+    the order of a hash of the row, so that a repeated task gives the same salts. ``hot`` may name the hot
     keys when they are known; there are never more than ``HOT_SHARE`` of them, so they are broadcast.
     ``how`` is inner, left, left_semi or left_anti. ``fits`` says that the size has been checked already, and with
     what result.
@@ -200,12 +205,16 @@ def lookup_join(
         return big.join(F.broadcast(small), on=on, how=how)
     if hot is None:
         hot = hot_keys(big, on)
-    hot = F.broadcast(materialise(hot.select(*on, F.lit(True).alias("_hot")), "hot-keys"))
+    hot = materialise(hot.select(*on, F.lit(True).alias("_hot")), "hot-keys")
+    if hot.isEmpty():
+        return big.join(small, on=on, how=how)
+    hot = F.broadcast(hot)
     # More salts than partitions, as key and salt are hashed together.
     salts = max(64, 2 * int(big.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    spread = F.pmod(F.xxhash64(*big.columns) + F.spark_partition_id(), F.lit(salts)).cast("int")
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) + F.pmod(F.xxhash64(F.spark_partition_id()), F.lit(salts))
+    spread = F.pmod(place, F.lit(salts)).cast("int")
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    left = big.join(hot, on=on, how="left")
+    left = big.join(hot, on=on, how="left").withColumn("_order", F.xxhash64(*big.columns)).sortWithinPartitions("_order").drop("_order")
     left = left.withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0))).drop("_hot")
     right = small.join(hot, on=on, how="left").withColumn("_salt", F.explode(copies)).drop("_hot")
     return left.join(right, on=[*on, "_salt"], how=how).drop("_salt")

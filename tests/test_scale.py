@@ -39,8 +39,31 @@ def test_only_the_last_and_the_pinned_version_stay(spark, tmp_path):
         spark.conf.unset(scale.SCRATCH)
 
 
-def test_identical_hot_rows_are_spread(spark):
-    big = spark.range(20000, numPartitions=64).select(F.lit("hot").alias("k"), F.lit(1).alias("v"))
+def test_broadcasts_count_the_bytes_of_strings(spark):
+    wide = spark.range(100).select("id", F.lit("x" * 10_000).alias("a.text"))
+    assert scale.fits_broadcast(wide, limit=1_100_000) and not scale.fits_broadcast(wide, limit=900_000)
+    assert not scale.fits_broadcast(wide, limit=2_000) and scale.fits_broadcast(wide.limit(0), limit=1)
+
+
+def test_scopes_delete_what_is_stored_inside(spark, tmp_path):
+    spark.conf.set(scale.SCRATCH, str(tmp_path))
+    try:
+        kept = scale.Versions("kept")
+        with scale.scope(spark):
+            outer = scale.materialise(spark.range(3), "outer")
+            with scale.scope(spark):
+                table = kept.put(scale.materialise(spark.range(4), "inner"))
+            assert sorted(n.split("-")[0] for n in os.listdir(tmp_path)) == ["kept", "outer"] and outer.count() == 3
+        assert [n.split("-")[0] for n in os.listdir(tmp_path)] == ["kept"] and table.count() == 4
+        scale.materialise(spark.range(1), "free")
+        assert len(os.listdir(tmp_path)) == 2
+    finally:
+        spark.conf.unset(scale.SCRATCH)
+
+
+@pytest.mark.parametrize("parts", [1, 64, 200])
+def test_identical_hot_rows_are_spread(spark, parts):
+    big = spark.range(20000, numPartitions=parts).select(F.lit("hot").alias("k"), F.lit(1).alias("v"))
     small = spark.createDataFrame([("hot", 2), ("cold", 3)], "k string, w int")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
@@ -50,4 +73,4 @@ def test_identical_hot_rows_are_spread(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert sum(sizes) == 20000 and len(sizes) == 4 and max(sizes) < 10000
+    assert sum(sizes) == 20000 and len(sizes) == 4 and max(sizes) < 8000
