@@ -5,9 +5,10 @@ parts of texts that can repeat at all, in these steps:
 
 1. *Anchors.* A window of ``MATCH`` bytes is named by the least hash of the ``GRAM``-byte strings in it. Equal
    windows have equal names, and neighbouring windows mostly share theirs, so a text becomes runs of windows, about one
-   for every 70 bytes. Names are counted over all texts.
-2. *Pieces.* Runs whose name occurs again (or that repeat within themselves) become pieces of text. Equal pieces
-   are collapsed and counted; all of a piece that occurs twice is repeated.
+   for every 70 bytes. Names are counted over all texts. Long texts are read in slices, whose windows do not overlap.
+2. *Pieces.* Runs whose name occurs again (or that repeat within themselves) become pieces of text. A long run (a text
+   with a short period) is cut into pieces of ``RUN_WINDOWS`` windows under the same name, so equal windows still meet.
+   Equal pieces are collapsed and counted; all of a piece that occurs twice is repeated.
 3. *Transforms.* Distinct pieces are dealt to buckets by name, so equal windows meet in one bucket. A bucket is cut into
    shards, and each shard gets its Burrows-Wheeler transform on its own. Texts are read as words of ``STRIDE``
    bytes at every phase, so a transform's symbol stands for ``STRIDE`` bytes.
@@ -17,11 +18,12 @@ parts of texts that can repeat at all, in these steps:
    part is their common prefix, and an interval with a common prefix of ``MATCH`` bytes is a repeated string.
 5. *Removal.* Covered ranges go back to all places of their piece and are cut out of the texts.
 
-A name with more than ``most_pieces`` distinct pieces (the edge of a passage in very many texts) would make a bucket too large;
-its windows are compared by 128-bit hashes in a grouped count instead, which any number of tasks can share.
+A name with more than ``most_pieces`` distinct pieces, or more than ``most_bytes`` of them (the edge of a passage in very many texts,
+or many lines with one beginning), would make a bucket too large; its windows are compared by 128-bit hashes in a grouped count
+instead, which any number of tasks can share.
 Windows, words and pieces are compared by hashes of 64 bits and more within equal names.
 
-Defined cases: null and empty texts have no bytes; texts shorter than ``MATCH`` stay whole; repeated rows
+Defined cases: null and empty texts have no bytes; a very long text takes memory for its own bytes and one slice; texts shorter than ``MATCH`` stay whole; repeated rows
 lose all that is ``MATCH`` bytes or longer; null keys are kept; an empty table gives an empty result. Extra columns are not carried.
 """
 
@@ -44,9 +46,11 @@ MATCH = 200
 GRAM = 64
 STRIDE = 40  # divides MATCH
 SLICE = 1 << 18  # bytes of text whose anchors are found at a time
+RUN_WINDOWS = 1 << 14  # windows in a piece; divides SLICE, so that pieces of a periodic text begin at few phases
 SHARD_BYTES = 1 << 16
 BUCKET_BYTES = 1 << 18  # small enough for a processor's cache
 MOST_PIECES = 1 << 15
+MOST_BYTES = 1 << 22  # a transform takes some 130 bytes for each
 FILTER_BITS = (1 << 16, 1 << 28)  # least and greatest size of the filter of repeated names: 32 MB at most
 SOME_ROWS = 2000  # texts whose runs are held as lists at a time
 _BASE = 0x2B5AD4C7F3A1D96B | 1
@@ -102,17 +106,39 @@ class Runs:
 
 
 def anchors(texts: list[bytes]) -> Iterator[tuple[int, Runs]]:
-    """Runs of all texts, some texts at a time, with the number of the first of them."""
+    """Runs of all texts, some texts or a slice of one text at a time, with the number of the first of them.
+
+    Slices of a text come in order. A run that a slice's end cuts counts twice, which only spares no work.
+    """
     at = 0
     while at < len(texts):
+        if len(texts[at]) > SLICE:
+            view = memoryview(texts[at])
+            for start in range(0, len(view) - MATCH + 1, SLICE):
+                found = _runs([bytes(view[start : start + SLICE + MATCH - 1])])
+                found.first += start
+                found.last += start
+                yield at, found
+            at += 1
+            continue
         end, size = at, 0
-        while end < len(texts) and (end == at or size + len(texts[end]) <= SLICE):
+        while end < len(texts) and size + len(texts[end]) <= SLICE:
             size += len(texts[end])
             end += 1
         yield at, _runs(texts[at:end])
         at = end
 
 
+def cut_runs(runs: Runs, windows: int = RUN_WINDOWS) -> Runs:
+    """The same windows in runs of at most that many."""
+    parts = (runs.last - runs.first) // windows + 1
+    if not len(parts) or parts.max() == 1:
+        return runs
+    of = np.repeat(np.arange(len(parts)), parts)
+    first = runs.first[of] + windows * (np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts))
+    return Runs(runs.text[of], first, np.minimum(first + windows - 1, runs.last[of]), runs.name[of], runs.itself[of])
+
+
 def _runs(texts: list[bytes]) -> Runs:
     lengths = np.array([len(t) for t in texts], np.int64)
     begin = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
@@ -352,13 +378,14 @@ def marked(docs: DataFrame, key: str, text: str, names: np.ndarray) -> DataFrame
         for batch in (b.slice(at, SOME_ROWS) for b in batches for at in range(0, b.num_rows, SOME_ROWS)):
             texts = [(v or "").encode() for v in batch.column("text").to_pylist()]
             runs: list[list | None] = [None] * len(texts)
-            for at, r in anchors(texts):
+            for at, r in ((at, cut_runs(r)) for at, r in anchors(texts)):
                 some = _passes(r.name, names)
                 owner = r.text[some] + at
                 values = list(zip(r.name[some].tolist(), r.first[some].tolist(), r.last[some].tolist(), strict=True))
                 bounds = np.flatnonzero(np.diff(owner, prepend=-1, append=len(texts))).tolist()
                 for a, b in zip(bounds, bounds[1:], strict=False):
-                    runs[owner[a]] = [dict(zip(("name", "first", "last"), v, strict=True)) for v in values[a:b]]
+                    found = [dict(zip(("name", "first", "last"), v, strict=True)) for v in values[a:b]]
+                    runs[owner[a]] = (runs[owner[a]] or []) + found
             digest = [None if r else hashlib.sha256(t).hexdigest() for t, r in zip(texts, runs, strict=True)]
             raw = [t if r else None for t, r in zip(texts, runs, strict=True)]
             yield pa.RecordBatch.from_arrays(
@@ -395,7 +422,7 @@ def _by_merge(pieces: DataFrame, bucket_bytes: int, shard_bytes: int) -> DataFra
 
 
 def _by_count(pieces: DataFrame) -> DataFrame:
-    """The same for names with very many distinct pieces: windows are counted by two hashes."""
+    """The same for names with very many distinct pieces or bytes: windows are counted by two hashes."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -418,10 +445,16 @@ def _by_count(pieces: DataFrame) -> DataFrame:
     found = scale.materialise(pieces.select("name", "digest", "bytes").mapInArrow(windows, fields), "windows")
     twice = found.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     twice = scale.materialise(twice, "repeated-windows")
+    # A piece has at most RUN_WINDOWS starts.
     starts = found.join(twice, ["one", "two"]).groupBy("name", "digest").agg(F.collect_list("start").alias("starts"))
-    return starts.select(
-        "name", "digest", F.transform("starts", lambda s: F.struct(s.alias("a"), (s + MATCH).alias("b"))).alias("ranges")
-    )
+
+    def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair = pa.struct([("a", pa.int32()), ("b", pa.int32())])
+        for batch in batches:
+            ranges = [[{"a": a, "b": b} for a, b in covered(np.sort(np.array(s)))] for s in batch.column("starts").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(ranges, pa.list_(pair))], names=["name", "digest", "ranges"])
+
+    return starts.mapInArrow(united, f"name bigint, digest bigint, ranges {RANGES}")
 
 
 def remove_repeats(
@@ -431,6 +464,7 @@ def remove_repeats(
     bucket_bytes: int = BUCKET_BYTES,
     shard_bytes: int = SHARD_BYTES,
     most_pieces: int = MOST_PIECES,
+    most_bytes: int = MOST_BYTES,
 ) -> DataFrame:
     """``<key>, n_bytes, n_removed, n_spans, kept_sha256, spans, kept`` of every row.
 
@@ -443,8 +477,8 @@ def remove_repeats(
     pieces = places.groupBy("name", "digest").agg(F.count(F.lit(1)).alias("n"), F.first("bytes").alias("bytes"))
     pieces = scale.materialise(pieces, "pieces")
 
-    per_name = pieces.groupBy("name").agg(F.count(F.lit(1)).alias("of_name"))
-    busy = scale.materialise(per_name.where(F.col("of_name") > most_pieces).select("name"), "busy-names")
+    per_name = pieces.groupBy("name").agg(F.count(F.lit(1)).alias("of_name"), F.sum(F.octet_length("bytes")).alias("in_name"))
+    busy = scale.materialise(per_name.where((F.col("of_name") > most_pieces) | (F.col("in_name") > most_bytes)).select("name"), "busy-names")
     whole = F.array(F.struct(F.lit(0).alias("a"), F.octet_length("bytes").alias("b")))
     twice = pieces.where("n > 1").select("name", "digest", whole.alias("ranges"))
     found = _by_merge(pieces.join(busy, "name", "left_anti").select("name", "digest", "bytes"), bucket_bytes, shard_bytes)

@@ -1,7 +1,9 @@
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from lexloom.llm import suffix_dedup as s
@@ -35,7 +37,9 @@ def texts():
 
 
 @pytest.mark.parametrize(
-    "options", [{}, {"bucket_bytes": 4000, "shard_bytes": 900}, {"most_pieces": 1}], ids=["one bucket", "many shards", "counted"]
+    "options",
+    [{}, {"bucket_bytes": 4000, "shard_bytes": 900}, {"most_pieces": 1}, {"most_bytes": 900}],
+    ids=["one bucket", "many shards", "counted", "counted by bytes"],
 )
 def test_removed_bytes_agree_with_brute_force(spark, options):
     rows = list(enumerate(texts()))
@@ -62,6 +66,40 @@ def test_merge_orders_all_suffixes_and_finds_common_prefixes():
             assert list(starts) == [i for i in range(len(p) - s.MATCH + 1) if counts[p[i : i + s.MATCH]] > 1]
 
 
+def test_runs_of_a_long_text_take_memory_for_one_slice():
+    text = b"the same line over and over, with nothing new in it\n" * 600_000  # 31 MB
+    tracemalloc.start()
+    found = [s.cut_runs(r) for _, r in s.anchors([text])]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+    first, last = np.concatenate([r.first for r in found]), np.concatenate([r.last for r in found])
+    assert first[0] == 0 and last[-1] == len(text) - s.MATCH and (first[1:] == last[:-1] + 1).all()
+    assert (last - first).max() < s.RUN_WINDOWS
+    # Equal pieces collapse: what is left to be merged does not grow with the text.
+    assert sum(map(len, {text[a : b + s.MATCH] for a, b in zip(first, last, strict=True)})) < 2e6
+
+
+@pytest.mark.parametrize("options", [{}, {"most_bytes": 100_000}], ids=["merged", "counted by bytes"])
+def test_long_runs(spark, options):
+    rng = random.Random(5)
+    stamp = "a line begins with the same words as every other line, more than sixty-four bytes of them: "
+    log = "".join(stamp + str(rng.randint(0, 300)) * 9 + "\n" for _ in range(4000))  # one run, hardly periodic
+    lines = "x" * 60_000 + "a short period " * 30_000 + log[:900]
+    rows = list(enumerate([log, lines, log[5000:5400], "clean " + "".join(rng.choice("abcdef") for _ in range(900))]))
+    want = brute([t.encode() for _, t in rows])
+    got = s.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"), **options).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == dict(enumerate(want))
+    assert 0 < want[0][1] < want[0][0] and want[3][1] == 0
+
+
+def test_a_very_long_text_of_one_line(spark):
+    line = "one line, again and again, for thirty million bytes\n"
+    df = spark.range(1).selectExpr("id AS doc_id", f"repeat('{line[:-1]}\n', 600000) AS text")
+    (r,) = s.remove_repeats(df).collect()
+    assert (r.n_bytes, r.n_removed, r.n_spans) == (len(line) * 600_000, len(line) * 600_000, 1)
+
+
 def test_odd_rows(odd_docs, no_docs):
     got = s.remove_repeats(odd_docs).collect()
     rows = odd_docs.where("doc_id IS NULL OR doc_id NOT IN (6, 7)").collect()
