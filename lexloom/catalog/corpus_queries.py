@@ -230,7 +230,7 @@ def partitioned_frequencies(spark, sf_dir):
 )
 def preprocess_partitioned(spark, sf_dir):
     prepared = partitioned(spark, sf_dir)
-    joined = text.label_tokens(prepared.corpus).join(prepared.vocab, on=["word", "label"])
+    joined = scale.lookup_join(text.label_tokens(prepared.corpus), prepared.vocab, ["word", "label"])
     return joined.select("pos", "key", F.round("freq", 9).alias("freq"))
 
 

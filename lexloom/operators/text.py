@@ -177,7 +177,8 @@ def preprocess_standard(
 def partitioned_frequencies(corpus: DataFrame, counts: DataFrame) -> DataFrame:
     """Per ``(word, label)`` the global count of the word, normalised over all entries to sum 1."""
     entries = corpus.select("word", "label").distinct()
-    vocab = scale.materialise(entries.join(counts, on="word"), "vocab")
+    # A common word has an entry in most partitions.
+    vocab = scale.materialise(scale.lookup_join(entries, counts, ["word"]), "vocab")
     total = float(_corpus_size(vocab))
     return vocab.select("word", "label", "n", (F.col("n") / F.lit(total)).alias("freq"))
 
