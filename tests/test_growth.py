@@ -44,3 +44,12 @@ def test_words_that_are_always_kept_draw_nothing(spark):
     found = {r["word"]: r["count"] for r in thin.groupBy("word").count().collect()}
     assert all(found[f"r{k}"] == 5 for k in range(20)) and 0 < found["much"] < 1900
     assert ">= 1.0" in plan_of(thin)
+
+
+def test_draws_written_out_are_those_of_the_loop(spark, monkeypatch):
+    corpus = spark.range(300).select(F.col("id").alias("pos"), F.concat(F.lit("w"), (F.col("id") % 17).cast("string")).alias("word"))
+    found = windows.negative_samples(corpus, corpus, 300, 4, 5)
+    assert "lambdafunction" not in plan_of(found)
+    monkeypatch.setattr(windows, "WRITTEN_OUT", 0)
+    loop = windows.negative_samples(corpus, corpus, 300, 4, 5)
+    assert sorted(found.collect()) == sorted(loop.collect()) and found.schema == loop.schema
