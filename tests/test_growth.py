@@ -53,3 +53,17 @@ def test_draws_written_out_are_those_of_the_loop(spark, monkeypatch):
     monkeypatch.setattr(windows, "WRITTEN_OUT", 0)
     loop = windows.negative_samples(corpus, corpus, 300, 4, 5)
     assert sorted(found.collect()) == sorted(loop.collect()) and found.schema == loop.schema
+
+
+def test_pairs_are_counted_where_their_centre_is(spark):
+    corpus = spark.range(500).select(F.col("id").alias("pos"), F.concat(F.lit("w"), (F.col("id") * 7 % 23).cast("string")).alias("word"), F.lit("").alias("label"))
+    options = {"ws": 2, "ns": 2, "batch_size": 100, "seed": 1}
+
+    def counted(**more):
+        return windows.generate_examples(corpus, 500, "sgns", **options, **more).groupBy("i", "j", "x").count()
+
+    found = counted(by_centre=True)
+    executed = found._jdf.queryExecution().executedPlan().toString()
+    before = executed[: executed.index("Generate explode")]
+    assert "Exchange" not in before
+    assert sorted(found.collect()) == sorted(counted().collect())
