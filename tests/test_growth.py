@@ -67,3 +67,37 @@ def test_pairs_are_counted_where_their_centre_is(spark):
     before = executed[: executed.index("Generate explode")]
     assert "Exchange" not in before
     assert sorted(found.collect()) == sorted(counted().collect())
+
+
+def test_vectors_are_broadcast_by_their_own_bytes(spark, monkeypatch):
+    bags, theta = bags_of(spark), theta_of(spark)
+    model = embedding.EmbeddingModel(theta, theta, 4)
+    monkeypatch.setattr(kernel, "THETA_BYTES", 50 * 4 * 8)
+    assert "CoGroup" not in plan_of(gradient.likelihood_gradient(model, bags, "cbow"))
+    monkeypatch.setattr(kernel, "THETA_BYTES", 50 * 4 * 8 - 1)
+    assert "CoGroup" in plan_of(gradient.likelihood_gradient(model, bags, "cbow"))
+
+
+def test_gradients_of_many_vectors_are_summed_in_few_tasks(spark, monkeypatch):
+    bags, theta = scale.materialise(bags_of(spark).repartition(40)), theta_of(spark)
+    monkeypatch.setattr(kernel, "FEW_BYTES", 0)
+    spark.conf.set("spark.sql.files.openCostInBytes", str(128 * 1024 * 1024))
+    try:
+        needed = bags.select("targets", "x", "ctx")
+        assert needed.rdd.getNumPartitions() == 40
+        found = kernel.over_bags(needed, theta, 4, "cbow", kernel.Gradient, kernel.GRADIENT)
+        assert found.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+        assert found.agg(F.sum("n")).first()[0] == 1200
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_a_block_pulls_a_vector_once_whatever_the_batches(spark):
+    bags = bags_of(spark).withColumn("_block", F.floor(F.col("bag_id") / 150).cast("bigint")).coalesce(1).sortWithinPartitions("bag_id")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        found = [tuple(r) for r in kernel._touched(bags).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    every = bags.select("_block", F.explode(F.concat("targets", "ctx"))).distinct().collect()
+    assert sorted(found) == sorted(map(tuple, every))
