@@ -80,11 +80,12 @@ def partial_fit_batch(
         return spark.read.schema(STATE_SCHEMA).parquet(path)
 
     with scale.scope(spark):
-        bags = scale.materialise(gradient.pairs_as_bags(pairs), "stream-bags", session=spark)
-        rows = bags.count()
+        # Stored as they come; as bags they would take several times the space.
+        kept = scale.materialise(pairs, "stream-pairs", session=spark)
+        rows = kept.count()
         if rows == 0:
             return
-        seen = map_step(model, state, bags, kind, rows / size, step, adam, plan, store)[1]
+        seen = map_step(model, state, gradient.pairs_as_bags(kept), kind, rows / size, step, adam, plan, store)[1]
     _log(spark, folder, (batch, step, path, seen["n"], seen["log_lik"]))
     done = sorted(int(n.removeprefix("batch=")) for n in scale.names_in(spark, f"{folder}/state"))
     for old in [b for b in done if b <= batch][:-KEPT]:

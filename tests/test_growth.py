@@ -101,3 +101,14 @@ def test_a_block_pulls_a_vector_once_whatever_the_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     every = bags.select("_block", F.explode(F.concat("targets", "ctx"))).distinct().collect()
     assert sorted(found) == sorted(map(tuple, every))
+
+
+def test_a_stream_stores_pairs_and_no_lists(spark, tmp_path, monkeypatch):
+    theta = theta_of(spark)
+    pairs = spark.range(100).select((F.col("id") % 50).alias("i"), (F.col("id") * 3 % 50).alias("j"), F.lit(1.0).alias("x"))
+    stored, own = [], scale.materialise
+    monkeypatch.setattr(scale, "materialise", lambda df, *a, **k: stored.append(df.columns) or own(df, *a, **k))
+    model = embedding.EmbeddingModel(theta, theta, 4)
+    partial_fit.partial_fit_batch(model, pairs, 0, str(tmp_path / "f"), 100)
+    assert ["i", "j", "x"] in stored and not [c for c in stored if "targets" in c]
+    assert partial_fit.steps(spark, str(tmp_path / "f")).first()["n"] == 100
