@@ -112,3 +112,55 @@ def test_a_stream_stores_pairs_and_no_lists(spark, tmp_path, monkeypatch):
     partial_fit.partial_fit_batch(model, pairs, 0, str(tmp_path / "f"), 100)
     assert ["i", "j", "x"] in stored and not [c for c in stored if "targets" in c]
     assert partial_fit.steps(spark, str(tmp_path / "f")).first()["n"] == 100
+
+
+def test_gradients_meet_as_slabs(spark, monkeypatch):
+    monkeypatch.setattr(kernel, "SLAB_NUMBERS", 28)
+    theta = theta_of(spark)
+    model, bags = embedding.EmbeddingModel(theta, theta, 4), scale.materialise(bags_of(spark).repartition(5))
+    for kind in ("cbow", "sgns"):
+        found = gradient.likelihood_gradient(model, bags, kind)
+        assert "FlatMapGroupsInArrow" in plan_of(found) and "sum(vec" not in plan_of(found)
+        other = {r["ix"]: r["vec"] for r in gradient.likelihood_gradient(model, bags, kind, "blocks").collect()}
+        rows = found.collect()
+        assert len(rows) == len(other) == 50
+        assert all(np.allclose(r["vec"], other[r["ix"]], atol=1e-9) for r in rows)
+
+
+def test_tokens_and_shuffles_go_when_they_have_been_written(spark, tmp_path):
+    import os
+    import time
+
+    def shuffles():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for name in files.mkString(" ").split() if "shuffle_" in name}
+
+    spark.conf.set(scale.SCRATCH, str(tmp_path))
+    try:
+        rows = [(d, k, f"w{(d * k) % 9}") for d in range(20) for k in range(30)]
+        tokens = spark.createDataFrame(rows, "doc_id bigint, tok int, word string")
+        made = text.preprocess_standard(tokens, ["doc_id", "tok"], limit=1, downsample=False)
+        assert sorted(r["pos"] for r in made.corpus.collect()) == list(range(600))
+        assert not [n for n in os.listdir(tmp_path) if n.startswith("kept-tokens")]
+        before = shuffles()
+        stored = scale.materialise(spark.range(5000).repartition(7, "id"), "shuffled")
+        # What it shuffled goes soon after; without the setting it stays until Spark's collector runs.
+        for _ in range(50):
+            if not [n for n in shuffles() - before if n.endswith(".data")]:
+                break
+            time.sleep(0.2)
+        assert not [n for n in shuffles() - before if n.endswith(".data")]
+        assert spark.conf.get(scale.CLEANUP, None) in (None, "false") and stored.count() == 5000
+    finally:
+        spark.conf.unset(scale.SCRATCH)
+
+
+def test_neighbours_are_those_of_a_document_and_of_a_repeated_id(spark, tmp_path):
+    from lexloom.catalog import model_queries
+
+    docs = [(1, "a b  c"), (2, "A"), (3, None), (None, "x y"), (4, "p q r"), (4, "s t"), (5, "")]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    tokens = [(d, k, w) for d, t in docs if d is not None and t for k, w in enumerate(t.lower().split())]
+    want = {(a, b) for d, k, a in tokens for e, m, b in tokens if d == e and m == k + 1}
+    found = [tuple(r) for r in model_queries._neighbours(spark, str(tmp_path)).collect()]
+    assert set(found) == want and len(found) == len(want) and ("p", "t") in want

@@ -86,3 +86,36 @@ def test_external_examples_reject_unknown_words(spark):
     assert (row["i"], row["j"]) == (ix["a"], ix["b_c"])
     with pytest.raises(ValueError, match="outside the vocabulary"):
         windows.external_examples(good.withColumn("i", F.lit("zz")), keys)
+
+
+def test_windows_of_small_batches_use_no_window_operator(spark):
+    corpus = corpus_of(spark, 60)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        made = windows.context_windows(corpus, 4, 60, block=9)
+        assert "RunningWindow" not in made._jdf.queryExecution().toString() and "Window [" not in made._jdf.queryExecution().toString()
+        found = made.collect()
+        bags = windows.example_bags(corpus, 60, 4, 2, 10, 1, centre="word", context="word").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    steps = [-1, -2, -3, -4, 1, 2, 3, 4]
+    want = {p: [f"w{(p + o) % 60}" for o in steps] for p in range(60)}
+    assert {r["pos"]: r["ctx"] for r in found} == want and len(found) == 60
+    assert {r["bag_id"]: r["ctx"] for r in bags} == want and all(r["targets"][0] == f"w{r['bag_id']}" for r in bags)
+    drawn = {(r["pos"], r["k"]): r["word"] for r in windows.negative_samples(corpus, corpus, 60, 2, 1).collect()}
+    assert all(r["targets"][k] == drawn[r["bag_id"], k] for r in bags for k in (1, 2))
+
+
+def test_missing_positions_leave_gaps_as_neighbours_do(spark):
+    rows = [(i, f"w{i}", "") for i in range(20) if i not in (4, 5)]
+    corpus = spark.createDataFrame(rows, "pos bigint, word string, label string")
+    found = {r["pos"]: r["ctx"] for r in windows.context_windows(corpus, 2, 20, block=5).collect()}
+    assert len(found) == 18 and found[10] == ["w9", "w8", "w11", "w12"]
+    assert found[3] == ["w2", "w1", "w6", None] and found[6] == ["w3", None, "w7", "w8"]
+
+
+def test_tables_are_searched_by_the_bytes_of_their_arrays(spark):
+    counts = spark.createDataFrame([(1, 5), (2, 6)], "value bigint, n bigint")
+    assert windows._searchable(counts, 32) and not windows._searchable(counts, 31)
+    words = spark.createDataFrame([("abc", 5)], "value string, n bigint")
+    assert windows._searchable(words, 19) and not windows._searchable(words, 18)
