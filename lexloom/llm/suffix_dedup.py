@@ -36,6 +36,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,7 +53,8 @@ BUCKET_BYTES = 1 << 18  # small enough for a processor's cache
 MOST_PIECES = 1 << 15
 MOST_BYTES = 1 << 22  # a transform takes some 130 bytes for each
 FILTER_BITS = (1 << 16, 1 << 28)  # least and greatest size of the filter of repeated names: 32 MB at most
-SOME_ROWS = 2000  # texts whose runs are held as lists at a time
+SOME_ROWS = 2000  # texts that are held as lists at a time, and
+SOME_BYTES = 1 << 22  # most bytes of them, but for a longer text alone
 _BASE = 0x2B5AD4C7F3A1D96B | 1
 
 
@@ -321,13 +323,24 @@ def covered(starts: np.ndarray) -> list[tuple[int, int]]:
 RANGES = "array<struct<a: int, b: int>>"
 
 
+def some(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of few rows and few bytes of ``column``: Spark's batches are bounded by rows alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at, done = 0, 0
+    while at < batch.num_rows:
+        to = int(np.searchsorted(ends, done + SOME_BYTES, "right"))
+        to = min(max(to, at + 1), at + SOME_ROWS)
+        yield batch.slice(at, to - at)
+        at, done = to, int(ends[to - 1])
+
+
 def repeated_names(docs: DataFrame, text: str) -> DataFrame:
     """Names of more than one run, or of a run that repeats in itself; counted over all texts."""
 
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [(v or "").encode() for v in batch.column(0).to_pylist()]
-            found = [r for _, r in anchors(texts)]
+            parts = ([(v or "").encode() for v in part.column(0).to_pylist()] for part in some(batch, text))
+            found = [r for texts in parts for _, r in anchors(texts)]
             if not found:
                 continue
             name, at = np.unique(np.concatenate([r.name for r in found]), return_inverse=True)
@@ -375,13 +388,13 @@ def marked(docs: DataFrame, key: str, text: str, names: np.ndarray) -> DataFrame
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = shared.value
-        for batch in (b.slice(at, SOME_ROWS) for b in batches for at in range(0, b.num_rows, SOME_ROWS)):
+        for batch in (part for b in batches for part in some(b, "text")):
             texts = [(v or "").encode() for v in batch.column("text").to_pylist()]
             runs: list[list | None] = [None] * len(texts)
             for at, r in ((at, cut_runs(r)) for at, r in anchors(texts)):
-                some = _passes(r.name, names)
-                owner = r.text[some] + at
-                values = list(zip(r.name[some].tolist(), r.first[some].tolist(), r.last[some].tolist(), strict=True))
+                likely = _passes(r.name, names)
+                owner = r.text[likely] + at
+                values = list(zip(r.name[likely].tolist(), r.first[likely].tolist(), r.last[likely].tolist(), strict=True))
                 bounds = np.flatnonzero(np.diff(owner, prepend=-1, append=len(texts))).tolist()
                 for a, b in zip(bounds, bounds[1:], strict=False):
                     found = [dict(zip(("name", "first", "last"), v, strict=True)) for v in values[a:b]]
@@ -486,7 +499,6 @@ def remove_repeats(
         found = found.unionByName(_by_count(pieces.join(busy, "name", "left_semi")))
     once = pieces.where("n = 1").select("name", "digest")
     ranges = scale.materialise(twice.unionByName(found.join(once, ["name", "digest"])), "ranges")
-
     where = places.select("row", "name", "first", "digest").join(ranges, ["name", "digest"])
     shifted = F.transform("ranges", lambda r: F.struct((r["a"] + F.col("first")).alias("a"), (r["b"] + F.col("first")).alias("b")))
     cuts = where.select("row", shifted.alias("cuts")).groupBy("row").agg(F.flatten(F.collect_list("cuts")).alias("cuts"))
@@ -501,7 +513,7 @@ def _cut_out(touched: DataFrame, others: DataFrame) -> DataFrame:
     pair = pa.struct([("a", pa.int32()), ("b", pa.int32())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for b in batches for part in some(b, "raw")):
             out = []
             for raw, cuts in zip(batch.column("raw").to_pylist(), batch.column("cuts").to_pylist(), strict=True):
                 spans: list[list[int]] = []
@@ -512,8 +524,8 @@ def _cut_out(touched: DataFrame, others: DataFrame) -> DataFrame:
                         spans.append([a, b])
                 edges = [0, *(x for s in spans for x in s), len(raw)]
                 kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                some = [{"a": a, "b": b} for a, b in spans]
-                out.append((len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), some or None, kept if spans else None))
+                gone = [{"a": a, "b": b} for a, b in spans]
+                out.append((len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), gone or None, kept if spans else None))
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pair), pa.binary()]
             columns = list(zip(*out, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays(

@@ -4,6 +4,7 @@ import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lexloom.llm import suffix_dedup as s
@@ -100,6 +101,19 @@ def test_a_very_long_text_of_one_line(spark):
     assert (r.n_bytes, r.n_removed, r.n_spans) == (len(line) * 600_000, len(line) * 600_000, 1)
 
 
+def test_parts_of_a_batch_are_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(s, "SOME_BYTES", 1000)
+    monkeypatch.setattr(s, "SOME_ROWS", 7)
+    texts = ["a" * 400, None, "é" * 400, "b" * 5000, "", *["c"] * 20, "d" * 999]
+    for kind, values in ((pa.string(), texts), (pa.binary(), [None if t is None else t.encode() for t in texts])):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(values, kind)], names=["k", "v"]).slice(1)
+        parts = list(s.some(batch, "v"))
+        assert pa.Table.from_batches(parts).to_pydict() == {"k": [*range(1, len(texts))], "v": values[1:]}
+        sizes = [[len((x or "").encode() if isinstance(x, str) else x or b"") for x in p.column("v").to_pylist()] for p in parts]
+        assert all(len(x) <= 7 and (sum(x) <= 1000 or len(x) == 1) for x in sizes)
+    assert list(s.some(batch.slice(0, 0), "v")) == []
+
+
 def test_odd_rows(odd_docs, no_docs):
     got = s.remove_repeats(odd_docs).collect()
     rows = odd_docs.where("doc_id IS NULL OR doc_id NOT IN (6, 7)").collect()
