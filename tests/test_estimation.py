@@ -279,6 +279,32 @@ def test_fits_delete_what_they_store_on_the_way(spark, model, text_corpus, tmp_p
         spark.conf.unset(scale.SCRATCH)
 
 
+def test_large_batches_are_stored_without_a_shuffle_and_one_epoch_at_a_time(spark, model, text_corpus, tmp_path, monkeypatch):
+    def stored(epoch):
+        return {b.number: sorted(map(tuple, b.bags.select("bag_id", "targets", "x", "ctx").collect())) for b in epoch}
+
+    spark.conf.set(scale.SCRATCH, str(tmp_path))
+    try:
+        data = training.Examples(model, text_corpus, None, None, "cbow", WS, NS, 250, 0, None, True)
+        want = stored(data.epoch(1))
+        assert "_block" in data.stored.columns
+        monkeypatch.setattr(training, "SLICE_BYTES", 64)
+        data = training.Examples(model, text_corpus, None, None, "cbow", WS, NS, 250, 0, None, True)
+        list(data.epoch(0))
+        folders, put = [], data.versions.put
+
+        def counted(bags):
+            folders.append(data.versions.last or [n for n in os.listdir(tmp_path) if n.startswith("bags-") and n in before])
+            return put(bags)
+
+        before = {os.path.basename(data.versions.last)}
+        monkeypatch.setattr(data.versions, "put", counted)
+        assert stored(data.epoch(1)) == want
+        assert "_block" not in data.stored.columns and folders == [[]]
+    finally:
+        spark.conf.unset(scale.SCRATCH)
+
+
 def test_batches_take_the_prior_of_their_own_rows(spark, model, text_corpus):
     data = training.Examples(model, text_corpus, None, None, "cbow", WS, NS, 250, 0, None, True)
     assert sorted(b.rows for b in data.epoch(0)) == [90, 250, 250, 250]

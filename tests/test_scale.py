@@ -74,3 +74,13 @@ def test_identical_hot_rows_are_spread(spark, parts):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert sum(sizes) == 20000 and len(sizes) == 4 and max(sizes) < 8000
+
+
+def test_scopes_destroy_what_is_broadcast_inside(spark):
+    outside = scale.shared(spark, [1])
+    with scale.scope(spark):
+        inside = scale.shared(spark, list(range(1000)))
+        assert os.path.exists(inside._path)
+    assert not os.path.exists(inside._path)
+    assert os.path.exists(outside._path) and outside.value == [1]
+    outside.destroy()
