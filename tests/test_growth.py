@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from lexloom.functions import hashing
 from lexloom.functions import text as text_functions
 from lexloom.operators import embedding, gradient, kernel, text, windows
 from lexloom.plans import scale
@@ -46,6 +47,41 @@ def test_words_that_are_always_kept_draw_nothing(spark):
     assert ">= 1.0" in plan_of(thin)
 
 
+def test_a_text_is_split_once_and_a_word_stripped_once(spark):
+    rows = [(1, "B. a!", "x"), (2, None, "x"), (None, " ", "y"), (3, "", None), (4, "c", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, label string")
+    tokens = text.tokenize(docs, ["doc_id"], label="label", lowercase=False)
+    assert sorted(map(tuple, tokens.collect()), key=str) == [(1, 0, "B.", "x"), (1, 1, "a!", "x"), (4, 0, "c", None)]
+    stripped = text.strip_punctuation(text.lowercase_tokens(tokens))
+    found = text.word_counts(stripped).join(spark.createDataFrame([("b",)], "word string"), "word")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and plan.count("lower(") == 1
+    assert [tuple(r) for r in found.collect()] == [("b", 1)]
+
+
+def test_draws_are_compared_with_a_bar_as_with_a_chance(spark):
+    exact = [k / 2.0**48 for k in (0, 1, 2**20 + 1, 2**47, 2**48 - 1, 2**48)]
+    drawn = [r["u"] for r in spark.range(40).select(hashing.uniform(3, "p", F.col("id")).alias("u")).collect()]
+    near = [c for u in drawn for c in (u, np.nextafter(u, 0.0), np.nextafter(u, 1.0))]
+    chances = spark.createDataFrame([(float(c),) for c in [*exact, *near, np.nextafter(1.0, 0.0), 1e-5, 0.3]], "c double")
+    both = chances.crossJoin(spark.range(40)).select(
+        (hashing.uniform(3, "p", F.col("id")) < F.col("c")).alias("was"),
+        hashing.happens(hashing.chance_bar(F.col("c")), 3, "p", F.col("id")).alias("now"),
+    )
+    assert both.where("was <> now or now is null").count() == 0 and both.where("now").count() > 0
+
+
+def test_no_number_is_made_of_a_draw_to_thin_tokens(spark):
+    tokens = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit(0).alias("tok"), F.concat(F.lit("w"), F.floor(F.sqrt("id"))).alias("word"))
+    counts = scale.materialise(text.word_counts(tokens))
+    thin = text.downsample_common_words(tokens, counts, ["doc_id", "tok"], 0.001, 3)
+    assert "conv(" not in plan_of(thin) and thin.columns == ["word", "doc_id", "tok"]
+    joined = tokens.join(counts, "word")
+    keep = text.keep_probability(F.col("n"), 3000, 0.001)
+    want = joined.where(hashing.uniform(3, "downsample", F.col("doc_id"), F.col("tok")) < keep).select(*thin.columns)
+    assert 0 < want.count() < 3000 and sorted(thin.collect()) == sorted(want.collect())
+
+
 def test_draws_written_out_are_those_of_the_loop(spark, monkeypatch):
     corpus = spark.range(300).select(F.col("id").alias("pos"), F.concat(F.lit("w"), (F.col("id") % 17).cast("string")).alias("word"))
     found = windows.negative_samples(corpus, corpus, 300, 4, 5)
