@@ -85,7 +85,7 @@ def partial_fit_batch(
         rows = kept.count()
         if rows == 0:
             return
-        seen = map_step(model, state, gradient.pairs_as_bags(kept), kind, rows / size, step, adam, plan, store)[1]
+        seen = map_step(model, state, gradient.pairs_as_bags(kept, plain=True), kind, rows / size, step, adam, plan, store)[1]
     _log(spark, folder, (batch, step, path, seen["n"], seen["log_lik"]))
     done = sorted(int(n.removeprefix("batch=")) for n in scale.names_in(spark, f"{folder}/state"))
     for old in [b for b in done if b <= batch][:-KEPT]:

@@ -87,6 +87,21 @@ def test_a_likelihood_sends_only_what_it_needs(spark):
     assert found.where("x is null").count() == found.where("log_lik is null").count() > 0
 
 
+def test_pairs_are_bags_without_lists(spark, monkeypatch):
+    model = model_of(spark, words_of(spark))
+    pairs = spark.range(500).select((F.col("id") % 23).alias("i"), (23 + F.col("id") * 5 % 23).alias("j"), (F.col("id") % 3 == 0).cast("double").alias("x"))
+    plain = gradient.pairs_as_bags(pairs, plain=True)
+    assert dict(plain.dtypes)["targets"] == "bigint"
+
+    def sums(bags):
+        return {r["ix"]: np.round(r["vec"], 9).tolist() for r in gradient.likelihood_gradient(model, bags, "sgns").collect()}
+
+    want = sums(gradient.pairs_as_bags(pairs))
+    assert sums(plain) == want
+    monkeypatch.setattr(kernel, "THETA_BYTES", 0)
+    assert sums(plain) == want
+
+
 def test_placed_tokens_are_stored_without_what_ordered_them(spark):
     tokens = spark.range(400).select(F.col("id").alias("doc_id"), F.lit(0).alias("tok"), F.concat(F.lit("w"), (F.col("id") % 9).cast("string")).alias("word"))
     corpus = text.preprocess_standard(tokens, ["doc_id", "tok"], limit=1, downsample=False).corpus
