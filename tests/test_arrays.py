@@ -102,6 +102,22 @@ def test_pairs_are_bags_without_lists(spark, monkeypatch):
     assert sums(plain) == want
 
 
+def test_supplied_examples_are_read_twice(spark):
+    corpus = words_of(spark)
+    keys = model_of(spark, corpus).keys
+    seen = spark.sparkContext.accumulator(0)
+
+    def see(word):
+        seen.add(1)
+        return word
+
+    pairs = corpus.select(F.udf(see)("word").alias("i"), F.concat("word", F.lit("_c")).alias("j"), F.lit(1.0).alias("x"))
+    assert len(windows.external_examples(pairs, keys).collect()) == 300 and seen.value <= 600
+    for wrong in ("i", "j"):
+        with pytest.raises(ValueError, match="outside the vocabulary"):
+            windows.external_examples(pairs.withColumn(wrong, F.lit(None).cast("string")), keys)
+
+
 def test_placed_tokens_are_stored_without_what_ordered_them(spark):
     tokens = spark.range(400).select(F.col("id").alias("doc_id"), F.lit(0).alias("tok"), F.concat(F.lit("w"), (F.col("id") % 9).cast("string")).alias("word"))
     corpus = text.preprocess_standard(tokens, ["doc_id", "tok"], limit=1, downsample=False).corpus
