@@ -118,6 +118,18 @@ def test_supplied_examples_are_read_twice(spark):
             windows.external_examples(pairs.withColumn(wrong, F.lit(None).cast("string")), keys)
 
 
+def test_a_lookup_joins_the_requests_once(spark, monkeypatch):
+    corpus = words_of(spark)
+    model = model_of(spark, corpus)
+    asked = corpus.select("pos", F.col("word").alias("key"))
+    found = embedding.lookup_vectors(model, asked)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    rows = sorted(map(tuple, found.collect()), key=str)
+    assert len(rows) == 300 and found.columns == ["ix", "pos", "key", "vec"]
+    monkeypatch.setattr(scale, "BROADCAST_BYTES", 1)
+    assert sorted(map(tuple, embedding.lookup_vectors(model, asked).collect()), key=str) == rows
+
+
 def test_placed_tokens_are_stored_without_what_ordered_them(spark):
     tokens = spark.range(400).select(F.col("id").alias("doc_id"), F.lit(0).alias("tok"), F.concat(F.lit("w"), (F.col("id") % 9).cast("string")).alias("word"))
     corpus = text.preprocess_standard(tokens, ["doc_id", "tok"], limit=1, downsample=False).corpus
